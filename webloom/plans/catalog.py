@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.functions import text, urls
+from webloom.operators import errors, filters, frontier, pages, politeness, stats
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,7 +30,389 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query(r"SELECT regexp_extract(url, '^https?://([^/:?#]*)', 1) AS host, count(*) AS pages FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def _pages(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", "url", urls.normalized(F.col("url")).alias("canonical"))
+
+
+_BARE = "regexp_replace(url, '#.*$', '')"
+_STRIPPED = rf"regexp_replace(regexp_replace({_BARE}, '(\?|&)(utm_[^&]*|fbclid=[^&]*|gclid=[^&]*)', '\1', 'g'), '[?&]$', '')"
+_HOST = "regexp_extract(url, '^https?://([^/:?#]*)', 1)"
+_HREF = r"""regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+
+
+# URLs
+
+
+@query(f"SELECT page_id, {_BARE} AS canonical FROM pages")
+def url_normalize(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", "canonical")
+
+
+@query(f"SELECT page_id, {_STRIPPED} AS form FROM pages")
+def url_queue_form(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.without_tracking(F.col("canonical")).alias("form"))
+
+
+@query(f"SELECT {_STRIPPED} AS form, min(page_id) AS page_id FROM pages GROUP BY 1")
+def url_dedup_first(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(urls.without_tracking(F.col("canonical")).alias("form")).agg(F.min("page_id").alias("page_id"))
+
+
+@query(f"SELECT count(*) AS tracked FROM pages WHERE {_STRIPPED} <> {_BARE}")
+def url_strip_tracking(spark, sf_dir):
+    c = F.col("canonical")
+    return _pages(spark, sf_dir).where(urls.without_tracking(c) != c).agg(F.count(F.lit(1)).alias("tracked"))
+
+
+@query(f"SELECT page_id, {_HOST} AS host FROM pages")
+def url_host(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", urls.host(F.col("canonical")).alias("host"))
+
+
+@query("SELECT regexp_extract(url, '^(https?)://', 1) AS scheme, count(*) AS pages FROM pages GROUP BY 1")
+def url_scheme_counts(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(F.regexp_extract("canonical", "^(https?)://", 1).alias("scheme")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query("SELECT regexp_extract(url, '^https?://[^/?#]*', 0) AS origin, count(*) AS pages FROM pages GROUP BY 1")
+def url_origin(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(urls.origin(F.col("canonical")).alias("origin")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(f"SELECT {_HOST} AS host, count(*) AS pages FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
 def top_domains(spark, sf_dir):
-    host = F.regexp_extract("url", "^https?://([^/:?#]*)", 1)
-    return table(spark, sf_dir, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages")).orderBy(F.desc("pages"), "host").limit(10)
+    return stats.largest_first(_pages(spark, sf_dir).select(urls.host(F.col("canonical")).alias("host")), "host", 10)
+
+
+@query(rf"SELECT CASE WHEN regexp_matches({_HOST}, '^www\..*\.') THEN substr({_HOST}, 5) ELSE {_HOST} END AS site, count(*) AS pages FROM pages GROUP BY 1")
+def site_no_www(spark, sf_dir):
+    return _pages(spark, sf_dir).groupBy(urls.site(urls.host(F.col("canonical"))).alias("site")).agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(f"SELECT h AS host, CAST(n * (n - 1) / 2 AS BIGINT) AS pairs FROM (SELECT {_HOST} AS h, count(*) AS n FROM pages GROUP BY 1) WHERE n > 1")
+def same_host_pairs(spark, sf_dir):
+    n = F.col("n")
+    counted = _pages(spark, sf_dir).groupBy(urls.host(F.col("canonical")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where(n > 1).select("host", F.expr("n * (n - 1) div 2").alias("pairs"))
+
+
+@query("SELECT page_id, replace(replace(url, 'http://', 'http://u:***@'), 'https://', 'https://u:***@') AS shown FROM pages")
+def url_hide_password(spark, sf_dir):
+    secret = F.regexp_replace("url", "^(https?://)", "$1u:p4ss@")
+    return table(spark, sf_dir, "pages").select("page_id", urls.hidden_password(secret).alias("shown"))
+
+
+# Filters
+
+
+@query(rf"SELECT page_id FROM pages WHERE regexp_matches({_HOST}, '(^|\.)example\.org$')")
+def filter_hosts_subdomain(spark, sf_dir):
+    return filters.UrlFilter(allowed_hosts=("example.org",)).apply(_pages(spark, sf_dir), "canonical").select("page_id")
+
+
+@query(r"SELECT page_id FROM pages WHERE NOT regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.html$')")
+def filter_extension(spark, sf_dir):
+    return filters.UrlFilter(extensions=("html",)).apply(_pages(spark, sf_dir), "canonical").select("page_id")
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(regexp_replace(url, '#.*$', ''), '/(en|de)/') AND NOT regexp_matches(regexp_replace(url, '#.*$', ''), '[?]page=')")
+def filter_include_exclude(spark, sf_dir):
+    return filters.UrlFilter(include=("/(en|de)/",), exclude=(r"\?page=",)).apply(_pages(spark, sf_dir), "canonical").select("page_id")
+
+
+@query(f"SELECT page_id FROM pages WHERE length({_BARE}) <= 42")
+def filter_max_len(spark, sf_dir):
+    return filters.UrlFilter(max_length=42).apply(_pages(spark, sf_dir), "canonical").select("page_id")
+
+
+# Pages
+
+
+def _parsed(spark, sf_dir) -> DataFrame:
+    return pages.parse_pages(table(spark, sf_dir, "pages"))
+
+
+_ENCODED = "replace(replace(replace(url_encode(h), '%2F', '/'), '%2C', ','), '%2A', '*')"
+_LINKS = f"""SELECT DISTINCT page_id, regexp_extract(url, '^https?://[^/?#]*', 0) || {_ENCODED} AS dst
+FROM (SELECT page_id, url, unnest({_HREF}) AS h FROM pages) WHERE h LIKE '/%'"""
+
+
+@query(f"SELECT page_id, count(*) AS links FROM ({_LINKS}) GROUP BY 1")
+def links_extract(spark, sf_dir):
+    return _parsed(spark, sf_dir).where(F.size("page.links") > 0).select("page_id", F.size("page.links").cast("long").alias("links"))
+
+
+@query(_LINKS)
+def links_resolve(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", F.explode("page.links").alias("dst"))
+
+
+@query(f"SELECT page_id, CAST(sum(CASE WHEN split_part(dst, '/', 3) = {_HOST} THEN 1 ELSE 0 END) AS BIGINT) AS internal_links, CAST(sum(CASE WHEN split_part(dst, '/', 3) <> {_HOST} THEN 1 ELSE 0 END) AS BIGINT) AS external_links FROM ({_LINKS}) JOIN pages USING (page_id) GROUP BY 1")
+def links_internal_external(spark, sf_dir):
+    found = pages.links(_parsed(spark, sf_dir).withColumn("page", F.col("page").withField("final_url", F.concat(F.col("page_id").cast("string"), F.lit(" "), F.col("page.final_url")))))
+    inner = urls.same_host(F.col("dst"), urls.normalized(F.element_at(F.split("src", " "), 2)))
+    page_id = F.element_at(F.split("src", " "), 1).cast("long").alias("page_id")
+    return found.groupBy(page_id).agg(F.count_if(inner).alias("internal_links"), F.count_if(~inner).alias("external_links"))
+
+
+@query(f"SELECT dst, count(*) AS in_degree FROM ({_LINKS}) GROUP BY 1")
+def link_graph_degree(spark, sf_dir):
+    return pages.links(_parsed(spark, sf_dir)).groupBy("dst").agg(F.count(F.lit(1)).alias("in_degree"))
+
+
+_ENTITIES = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+@query("SELECT page_id, " + _ENTITIES.format("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))") + " AS title FROM pages")
+def title_extract(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", "page.title")
+
+
+@query("SELECT page_id, 1 AS level, " + _ENTITIES.format("trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))") + " AS heading FROM pages")
+def headings_extract(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", F.explode("page.headings").alias("h")).select("page_id", "h.level", F.col("h.text").alias("heading"))
+
+
+@query("SELECT page_id, count(*) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS t FROM pages) WHERE trim(t) <> '' GROUP BY 1")
+def list_items(spark, sf_dir):
+    items = F.aggregate(F.transform("page.lists", lambda x: F.size(x["items"])), F.lit(0), lambda a, b: a + b)
+    return _parsed(spark, sf_dir).where(F.size("page.lists") > 0).select("page_id", items.cast("long").alias("items"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM pages")
+def page_language(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", "page.metadata.language")
+
+
+@query()
+def text_visible(spark, sf_dir):
+    return _parsed(spark, sf_dir).select("page_id", F.col("page.text").alias("text"))
+
+
+@query()
+def page_summary_counts(spark, sf_dir):
+    return pages.summary(_parsed(spark, sf_dir))
+
+
+# Frontier: lineitem's parts stand for hosts, its orders for pages
+
+
+def _frontier_pages(spark, sf_dir) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("host"))
+    return li.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("position"), F.col("host").cast("string").alias("host"))
+
+
+_FP = "(SELECT l_orderkey * 8 + l_linenumber AS position, CAST(min(l_suppkey) AS VARCHAR) AS host FROM lineitem GROUP BY l_orderkey, l_linenumber)"
+_JUDGED = f"""WITH fitting AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY position) <= 30 AS fits FROM {_FP}),
+chosen AS (SELECT *, fits AND sum(CASE WHEN fits THEN 1 ELSE 0 END) OVER (ORDER BY position) <= 500 AS chosen FROM fitting),
+judged AS (SELECT *, NOT chosen AND coalesce(sum(CASE WHEN chosen THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 30 AS by_host FROM chosen)"""
+
+
+@query(f"SELECT host, position FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY position) AS n FROM {_FP}) WHERE n = 1 ORDER BY position LIMIT 100")
+def take_top1_per_host(spark, sf_dir):
+    p = _frontier_pages(spark, sf_dir).select(F.col("position").cast("string").alias("url"), "host", F.lit(0).alias("depth"), F.col("position").alias("seq"))
+    return frontier.take(frontier.new_rows(p), 0.0, 100).select("host", F.col("seq").alias("position"))
+
+
+@query(f"SELECT host, count(*) AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY position) AS n FROM {_FP}) WHERE n <= 5 GROUP BY 1")
+def admit_per_host(spark, sf_dir):
+    p = _frontier_pages(spark, sf_dir)
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("position"))
+    return p.withColumn("n", rank).where("n <= 5").groupBy("host").agg(F.count(F.lit(1)).alias("admitted"))
+
+
+@query(f"{_JUDGED} SELECT position, host FROM judged WHERE chosen")
+def add_bounded(spark, sf_dir):
+    return frontier.admission(_frontier_pages(spark, sf_dir), 500, 30).where("chosen").select("position", "host")
+
+
+@query(f"{_JUDGED} SELECT count(*) FILTER (WHERE chosen) AS accepted, count(*) FILTER (WHERE NOT chosen AND NOT by_host) AS dropped, count(*) FILTER (WHERE by_host) AS dropped_by_host FROM judged")
+def add_drop_reasons(spark, sf_dir):
+    return frontier.drop_reasons(frontier.admission(_frontier_pages(spark, sf_dir), 500, 30))
+
+
+_STATE = "CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'processed' ELSE 'failed' END"
+
+
+@query(f"SELECT {_STATE} AS state, count(*) AS pages FROM orders GROUP BY 1")
+def frontier_state_counts(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "processed").otherwise("failed")
+    return frontier.state_counts(table(spark, sf_dir, "orders").select(state.alias("state")))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def seen_anti_join(spark, sf_dir):
+    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
+def upsert_latest(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    old = o.where("o_orderkey % 2 = 0")
+    return frontier.upsert_latest(old, o.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey")
+
+
+@query("WITH RECURSIVE t AS (SELECT 1 AS n, 0 AS depth UNION ALL SELECT n * 2 + k, depth + 1 FROM t, (VALUES (0), (1)) v(k) WHERE depth < 8) SELECT depth, count(*) AS pages FROM t JOIN orders ON o_orderkey = n GROUP BY 1")
+def depth_bfs_recursive(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey")
+    level = orders.where("o_orderkey = 1").select(F.col("o_orderkey").alias("n"), F.lit(0).alias("depth"))
+    found = level
+    for d in range(1, 9):
+        children = level.select(F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("n"), F.lit(d).alias("depth"))
+        level = children.join(orders.withColumnRenamed("o_orderkey", "n"), "n", "left_semi")
+        found = found.unionByName(level)
+    return found.groupBy("depth").agg(F.count(F.lit(1)).alias("pages"))
+
+
+# Statistics: events stand for requests, users for hosts
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    error = F.when(F.col("event_type") == "error", "NetworkError").when(F.col("event_type") == "signup", "PermanentHTTPError")
+    status = F.when(F.col("event_type") == "signup", 404).when(F.col("event_type") != "error", 200)
+    return e.select("event_id", "ts", F.col("user_id").alias("host"), F.col("value").alias("elapsed"), error.alias("error"), status.alias("status"), (F.col("event_type") == "view").alias("skipped"))
+
+
+_REQ = """(SELECT event_id, ts, user_id AS host, value AS elapsed, CASE event_type WHEN 'error' THEN 'NetworkError' WHEN 'signup' THEN 'PermanentHTTPError' END AS error,
+CASE WHEN event_type = 'signup' THEN 404 WHEN event_type <> 'error' THEN 200 END AS status, event_type = 'view' AS skipped FROM events)"""
+
+
+@query(f"SELECT count(*) AS total_pages, count(*) FILTER (WHERE error IS NULL AND NOT skipped) AS successful, count(*) FILTER (WHERE error IS NOT NULL) AS failed, count(*) FILTER (WHERE error IS NULL AND skipped) AS skipped, round(count(*) / 100.0, 6) AS pages_per_second, round(avg(elapsed), 6) AS avg_response_time FROM {_REQ}")
+def stats_outcomes(spark, sf_dir):
+    return stats.outcomes(_requests(spark, sf_dir), 100.0).withColumns({c: F.round(c, 6) for c in ("pages_per_second", "avg_response_time")})
+
+
+@query(f"SELECT status, count(*) AS pages FROM {_REQ} WHERE status IS NOT NULL GROUP BY 1 ORDER BY 1")
+def status_counts(spark, sf_dir):
+    return stats.by_status(_requests(spark, sf_dir))
+
+
+@query(f"SELECT error, count(*) AS pages FROM {_REQ} WHERE error IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1")
+def errors_by_class(spark, sf_dir):
+    return stats.largest_first(_requests(spark, sf_dir), "error")
+
+
+@query(f"SELECT k AS kind, count(error) AS errors FROM (VALUES ('TransientError'), ('PermanentError'), ('NetworkError'), ('ParseError'), ('other')) v(k) LEFT JOIN (SELECT CASE error WHEN 'NetworkError' THEN 'NetworkError' ELSE 'PermanentError' END AS g, error FROM {_REQ} WHERE error IS NOT NULL) ON g = k GROUP BY 1")
+def errors_by_kind(spark, sf_dir):
+    return stats.errors_by_kind(_requests(spark, sf_dir).withColumnRenamed("error", "error_class"))
+
+
+@query(f"SELECT host, count(*) AS pages FROM {_REQ} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def top_k_users(spark, sf_dir):
+    return stats.largest_first(_requests(spark, sf_dir), "host", 10)
+
+
+@query(f"SELECT host, round(avg(elapsed), 6) AS avg_elapsed FROM {_REQ} GROUP BY 1")
+def avg_response(spark, sf_dir):
+    return _requests(spark, sf_dir).groupBy("host").agg(F.round(F.avg("elapsed"), 6).alias("avg_elapsed"))
+
+
+@query(f"SELECT CASE WHEN g = 3 THEN 'status' WHEN g = 5 THEN 'error' ELSE 'host' END AS what, CASE WHEN g = 3 THEN CAST(status AS VARCHAR) WHEN g = 5 THEN error ELSE CAST(host AS VARCHAR) END AS key, pages FROM (SELECT status, error, host, grouping(status, error, host) AS g, count(*) AS pages FROM {_REQ} GROUP BY GROUPING SETS ((status), (error), (host))) WHERE CASE WHEN g = 3 THEN CAST(status AS VARCHAR) WHEN g = 5 THEN error ELSE CAST(host AS VARCHAR) END IS NOT NULL")
+def grouping_sets_host_status(spark, sf_dir):
+    return stats.breakdown(_requests(spark, sf_dir).withColumn("host", F.col("host").cast("string")))
+
+
+@query(f"SELECT host, count(gap) AS gaps, round(avg(gap), 5) AS avg_gap FROM (SELECT host, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY host ORDER BY ts) AS gap FROM {_REQ}) GROUP BY 1")
+def rate_gaps_lag(spark, sf_dir):
+    r = _requests(spark, sf_dir).withColumn("start", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return politeness.gaps(r).groupBy("host").agg(F.count("gap").alias("gaps"), F.round(F.avg("gap"), 5).alias("avg_gap"))
+
+
+@query(f"SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS n FROM {_REQ})")
+def rps_window(spark, sf_dir):
+    micros = _requests(spark, sf_dir).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    # windows don't cross a day's border by more than their length: each day gets its predecessors' last minutes
+    day = 86_400_000_000
+    span = 600_000_000
+    own = micros.withColumn("day", F.expr(f"t div {day}L")).withColumn("own", F.lit(True))
+    lead = own.where(F.col("t") % day >= day - span).withColumns({"day": F.col("day") + 1, "own": F.lit(False)})
+    w = Window.partitionBy("day").orderBy("t").rangeBetween(-span + 1, 0)
+    return own.unionByName(lead).withColumn("n", F.count(F.lit(1)).over(w)).where("own").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
+@query(f"SELECT event_id, count(*) OVER w AS requests, CAST(sum(CASE WHEN error = 'NetworkError' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures FROM {_REQ} WINDOW w AS (PARTITION BY host ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)")
+def breaker_window_failures(spark, sf_dir):
+    failed = errors.is_failure(F.col("error"), F.col("status"))
+    calls = _requests(spark, sf_dir).select("event_id", "host", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), failed.alias("failed"))
+    return politeness.window_failures(calls, 86_400.0).select("event_id", "requests", "failures")
+
+
+@query("SELECT n AS retries, s AS status, least(30.0, CASE s WHEN 429 THEN 4.0 ELSE 1.0 END * pow(2.0, n)) / 2 AS least_delay, least(30.0, CASE s WHEN 429 THEN 4.0 ELSE 1.0 END * pow(2.0, n)) AS most_delay FROM range(0, 6) r(n), (VALUES (429), (503)) v(s)")
+def retry_backoff_schedule(spark, sf_dir):
+    policy = politeness.RetryPolicy()
+    grid = spark.range(6).select(F.col("id").alias("retries"), F.explode(F.array(F.lit(429), F.lit(503))).alias("status"))
+    none, cls = F.lit(None).cast("double"), F.lit("TransientHTTPError")
+    low, high = (policy.delay(F.col("status"), cls, F.col("retries"), none, F.lit(d)) for d in (0.0, 1.0))
+    return grid.select("retries", "status", low.alias("least_delay"), high.alias("most_delay"))
+
+
+@query(f"SELECT event_id, round(max(t - n * 3600) OVER (PARTITION BY host ORDER BY t ROWS UNBOUNDED PRECEDING) + n * 3600, 3) AS start FROM (SELECT event_id, host, epoch_us(ts) / 1e6 - 1704067200 AS t, row_number() OVER (PARTITION BY host ORDER BY ts) AS n FROM {_REQ})")
+def gcra_starts(spark, sf_dir):
+    r = _requests(spark, sf_dir).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200)
+    return politeness.scheduled_starts(r, F.lit(3600.0), at="t").select("event_id", F.round("start", 3).alias("start"))
+
+
+@query()
+def proxy_pick_crc32(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", politeness.proxy_index(urls.host(F.col("canonical")), 3).alias("proxy"))
+
+
+@query()
+def breaker_states(spark, sf_dir):
+    r = _requests(spark, sf_dir).select(F.col("host").cast("string").alias("host"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("event_id").alias("call_id"), F.col("error").alias("error_class"), "status")
+    return politeness.breaker_trace(r, politeness.Breaker(0.3, 5, 86_400.0, 3600.0))
+
+
+@query(f"SELECT host, count(*) AS sessions FROM (SELECT host, ts, lag(ts) OVER (PARTITION BY host ORDER BY ts) AS p FROM {_REQ}) WHERE p IS NULL OR ts - p > INTERVAL 6 HOUR GROUP BY 1")
+def sessions(spark, sf_dir):
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(Window.partitionBy("host").orderBy("ts"))
+    return _requests(spark, sf_dir).withColumn("gap", gap).where("gap is null or gap > 21600000000").groupBy("host").agg(F.count(F.lit(1)).alias("sessions"))
+
+
+@query("SELECT c_custkey AS worker, count(*) FILTER (WHERE o_orderstatus = 'F') AS processed, count(*) FILTER (WHERE o_orderstatus = 'P') AS failed, count(*) FILTER (WHERE o_orderstatus = 'O') AS in_progress FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def workers_left_join(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "leased").when(F.col("o_orderstatus") == "F", "processed").otherwise("failed")
+    held = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("worker"), state.alias("state"))
+    return stats.workers(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("worker")), held)
+
+
+@query("SELECT o_orderkey AS url, 'failed' AS outcome FROM orders WHERE o_orderstatus = 'P'")
+def unsaved_list(spark, sf_dir):
+    state = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "F", "processed").otherwise("failed")
+    none = F.lit(None).cast("string")
+    f = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("url"), state.alias("state"), none.alias("reason"), F.lit(0).alias("status"), none.alias("error"), F.col("o_orderdate").alias("finished_at"), F.col("o_orderkey").alias("seq"))
+    return frontier.unsaved(f).select("url", "outcome")
+
+
+@query(f"SELECT count(*) FILTER (WHERE NOT skipped) AS done, count(*) FILTER (WHERE NOT skipped AND ts > TIMESTAMP '2024-01-30') AS recent, count(*) FILTER (WHERE error IS NOT NULL) AS failed FROM {_REQ}")
+def progress_window(spark, sf_dir):
+    state = F.when(F.col("error").isNotNull(), "failed").when(~F.col("skipped"), "processed").otherwise("queued")
+    f = _requests(spark, sf_dir).select(state.alias("state"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("finished_at"))
+    now = 1706659200e6
+    return stats.job_progress(f, now, 10**9, 86_400e6).select("done", "recent", "failed")
+
+
+# Text and cells
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM documents")
+def doc_whitespace_clean(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.col("text")).alias("clean"))
+
+
+@query("SELECT doc_id, text, lang FROM documents")
+def doc_store_json_roundtrip(spark, sf_dir):
+    kept = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"}).alias("j"))
+    return kept.select(F.from_json("j", "doc_id long, text string, lang string").alias("d")).select("d.*")
+
+
+@query("SELECT doc_id, CASE WHEN left(t, 1) IN ('=', '+', '-', '@') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || left(text, 20) ELSE left(text, 20) END AS t FROM documents)")
+def csv_formula_escape(spark, sf_dir):
+    t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.substring("text", 1, 20))).otherwise(F.substring("text", 1, 20))
+    return table(spark, sf_dir, "documents").select("doc_id", text.escaped_formula(t).alias("cell"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 60 THEN n_chars || 's' WHEN n_chars < 3600 THEN printf('%dm %02ds', n_chars // 60, n_chars % 60) ELSE printf('%dh %02dm', n_chars // 3600, n_chars % 3600 // 60) END AS shown FROM documents")
+def duration_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.duration(F.col("n_chars")).alias("shown"))
