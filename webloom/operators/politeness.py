@@ -154,7 +154,8 @@ def retry_after(value: Column, now: Column) -> Column:
         return pd.Series([moment(v) for v in values], dtype="float64")
 
     digits = F.trim(value).rlike("^[0-9]+$")
-    at = F.nanvl(dated(F.when(~digits, value)), F.lit(None).cast("double"))
+    found = dated(F.when(~digits, value))
+    at = F.when(~F.isnan(found), found)
     return F.when(digits, F.trim(value).cast("double")).otherwise(F.when(at.isNotNull(), F.greatest(F.lit(0.0), at - now)))
 
 
