@@ -14,7 +14,7 @@ from itertools import chain
 import numpy as np
 
 #: White space as Unicode defines it; the vocabularies' patterns call it \s.
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Where one of these stands, a blank isn't single.
 _UNEVEN = tuple({f" {x}" for x in SPACE} | {f"{x} " for x in SPACE})
 _PIECES = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
