@@ -164,7 +164,7 @@ def find_secrets(documents: DataFrame, fdr: float = FDR) -> DataFrame:
     dropped = dropped_from(found.select(F.explode("__runs").alias("r")).select("r.octave", "r.p"), fdr)
     every = F.array_sort(F.concat("__base", _random(F.col("__runs"), dropped)))
     found = found.withColumn("span_list", every)
-    counts = [F.size(F.filter("__base", lambda s, k=k: s["ord"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter("__base", lambda s: s["ord"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(_joined(F.col("__base")), 256).alias("base_sha256"), _joined(F.col("span_list")).alias("spans"), "span_list")
 
 
