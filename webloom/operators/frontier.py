@@ -141,10 +141,10 @@ def admit(pages: DataFrame, max_pages: int, max_per_host: int | None = None, req
             df = df.withColumn("__requested", F.lit(0))
         ranked = F.row_number().over(Window.partitionBy("host").orderBy("depth", "seq")) + F.coalesce("__requested", F.lit(0)) <= max_per_host
     df = df.withColumn("__fits", ranked)
-    place = Window.orderBy("depth", "seq")
-    df = df.withColumn("__n", F.sum(F.col("__fits").cast("long")).over(place.rowsBetween(Window.unboundedPreceding, 0)))
-    verdict = F.when(F.col("__n") + requested - F.col("__fits").cast("long") >= max_pages, "over_limit").when(~F.col("__fits"), "over_host_limit").otherwise("admitted")
-    return df.withColumn("admission", verdict).drop("__fits", "__n", "__requested")
+    # depth and seq in one number: the running count is made of counts per range of it
+    df = running_count(df.withColumn("__place", F.shiftleft(F.col("depth").cast("long"), 44) + F.col("seq")), "__fits", "__place")
+    verdict = F.when(F.col("running") + requested - F.col("__fits").cast("long") >= max_pages, "over_limit").when(~F.col("__fits"), "over_host_limit").otherwise("admitted")
+    return df.withColumn("admission", verdict).drop("__fits", "running", "__place", "__requested")
 
 
 def finish(frontier: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
