@@ -19,7 +19,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.llm.common import written
@@ -119,13 +119,17 @@ def signatures(documents: DataFrame, trees: int, depth: int, width: int = WORDS)
     return rows.mapInArrow(sign, "doc_id long, key binary, labels array<long>")
 
 
-def _nodes(classes: DataFrame) -> DataFrame:
-    """(tree, label, node, members): trie nodes of two classes and more, one for each set of members."""
+def _members(classes: DataFrame) -> DataFrame:
+    """(key, tree, label, members): classes at trie nodes of two classes and more."""
     spread = classes.select("key", F.posexplode("labels").alias("tree", "label"))
-    h = [F.xxhash64("key", F.lit(i)) for i in (1, 2)]
-    nodes = spread.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("members"), *[F.bit_xor(x).alias(f"x{i}") for i, x in enumerate(h)]).where("members > 1")
-    # of equal member sets, the one of the first tree
-    return nodes.groupBy("x0", "x1", "members").agg(F.min(F.struct("tree", "label")).alias("first")).select("first.tree", "first.label", F.xxhash64("first.tree", "first.label").alias("node"), "members")
+    return spread.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("tree", "label"))).where("members > 1")
+
+
+def _nodes(members: DataFrame) -> DataFrame:
+    """(tree, label, node): of nodes with the same classes in several trees, the one of the first tree."""
+    h = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
+    nodes = members.groupBy("tree", "label", "members").agg(*h)
+    return nodes.groupBy("x1", "x2", "members").agg(F.min(F.struct("tree", "label")).alias("first")).select("first.tree", "first.label", F.xxhash64("first.tree", "first.label").alias("node"))
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -248,16 +252,17 @@ def join_documents(documents: DataFrame, threshold: float = THRESHOLD, trees: in
     signed = written(signatures(documents, trees, d, width), "signed")
     classes = signed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least_id"), F.first("labels").alias("labels"))
     classes = written(classes, "classes")
-    nodes = written(_nodes(classes), "nodes")
-    # the number of documents of a class goes behind its labels
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    member = classes.select("key", F.concat("labels", F.array("docs")).alias("labels"), F.posexplode("labels").alias("tree", "label")).join(nodes, ["tree", "label"])
-    member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
+    members = written(_members(classes), "members")
+    met = members.join(_nodes(members).hint("merge"), ["tree", "label"])
+    met = met.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     # a member of block b is in the pairs (b, b), (b, j) and (i, b)
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
-    met = written(member.select("key", "labels", "node", "tree", "block", F.explode(pairs).alias("p")).select("key", "labels", "node", "tree", "block", "p.i", "p.j"), "met")
-    sets = _shingle_sets(documents, signed, met.select("key").distinct(), width)
-    found = written(_verified(met.join(sets, "key"), threshold), "links")
+    met = written(met.select("key", "node", "tree", "block", F.explode(pairs).alias("p")).select("key", "node", "tree", "block", "p.i", "p.j"), "met")
+    wanted = met.select("key").distinct()
+    # the number of documents of a class goes behind its labels
+    signs = classes.join(wanted, "key", "left_semi").select("key", F.concat("labels", F.array("docs")).alias("labels"))
+    sets = written(_shingle_sets(documents, signed, wanted, width).join(signs, "key"), "sets")
+    found = written(_verified(met.join(sets.hint("merge"), "key"), threshold), "links")
     groups = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     ids = classes.select("key", "docs", "least_id").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
@@ -285,7 +290,8 @@ def _shingle_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, wi
                 yield pa.RecordBatch.from_arrays([pa.array([_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "shingles"])
 
     schema = "key binary, shingles binary"
-    named = rows.join(source.where("id is not null").select("id").distinct(), "id", "left_semi").select("text").mapInArrow(build, schema)
+    # always a merge join: candidates grow with the corpus
+    named = rows.join(source.where("id is not null").select("id").distinct().hint("merge"), "id", "left_semi").select("text").mapInArrow(build, schema)
     others = rows.where("id is null").select("text").mapInArrow(build, schema)
     # rows that share a doc_id may bring sets that nobody wants, or one set twice
     return named.join(wanted, "key", "left_semi").unionByName(others.join(unnamed, "key", "left_semi")).dropDuplicates(["key"])
