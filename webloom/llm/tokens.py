@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Sequence
 from itertools import chain
 
 import numpy as np
@@ -65,7 +66,7 @@ def spelled(piece: str) -> str:
 class Encoder:
     """ids(texts): for each text an array of unsigned 32-bit ids. Holds max_pieces pieces at most."""
 
-    def __init__(self, path: str, max_pieces: int = 800_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -77,23 +78,23 @@ class Encoder:
 
     def _forget(self) -> None:
         self.index = _Index()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1, np.int64)  # of piece i in flat; one more entry than pieces
 
-    def _part(self, part: str) -> list[int]:
+    def _part(self, part: str) -> tuple[int, ...]:
         """Ids of letters alone or punctuation alone: one piece of the pre-tokeniser, straight to the merges."""
         if self.lower:
             part = part.strip(" ").lower()
         if part not in self.parts:
             shown = part.replace(" ", _BYTES[0x20]) if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
-            self.parts[part] = [x.id for x in self.tokenizer.model.tokenize(shown)] if part else []
+            self.parts[part] = tuple(x.id for x in self.tokenizer.model.tokenize(shown)) if part else ()
         return self.parts[part]
 
     def _learn(self, new: list[str]) -> None:
         if len(self.parts) > self.max_pieces // 4:
             self.parts = {}
-        ids: list[list[int]] = []
+        ids: list[Sequence[int]] = []
         hard: list[tuple[int, str]] = []
         for x in map(spelled, new):
             if plain := _PLAIN.fullmatch(x):
