@@ -306,7 +306,7 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     found = written(join_documents(documents, **options), "joined")
     plain = found.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty()
     if plain:
-        return documents.join(found.where("doc_id = class_id").select("doc_id"), "doc_id", "left_semi").select(*documents.columns)
+        return documents.join(found.where("doc_id = class_id").select("doc_id").hint("merge"), "doc_id", "left_semi").select(*documents.columns)
     from pyspark.sql import types as T
 
     width, at_text = options.get("width", WORDS), documents.columns.index("text")

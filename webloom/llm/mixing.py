@@ -174,7 +174,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """
     copies = mix_sources(documents, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
     copies = written(copies, "mix-copies").withColumnRenamed("doc_id", "__id")
-    rows = documents.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    # always a merge join: copies grow with the corpus
+    rows = documents.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
     each = F.col("__copies")
     if not copies.where("__rows > 1").isEmpty():
         rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns)))
