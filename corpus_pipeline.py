@@ -13,13 +13,14 @@ from webloom.llm import jaccard, langid, mixing, secrets
 from webloom.llm.common import table, written
 from webloom.llm.queries import packed_digest
 
-#: Documents go whose text has no letter, or whose likeliest language is less likely than this.
+#: Documents go whose text has no letter, is unlike the documents of its likeliest language, is nearly as likely in
+#: another, or whose likeliest language is less likely than this.
 LEAST_SCORE = 0.35
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; a null lang is filled with the prediction."""
-    found = langid.identify(docs, langid.train(docs)).where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= LEAST_SCORE))
+    found = langid.identify(docs, langid.train(docs)).where((F.col("lang_pred") != langid.NONE) & (F.col("lang_score") >= LEAST_SCORE) & F.col("lang_fits") & ~F.col("lang_ambiguous"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -452,6 +452,24 @@ def test_language(spark):
     assert langid.predict_languages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("langs", [1, 2, 4])
+def test_foreign_texts(spark, langs):
+    import base64
+
+    import corpus_pipeline as P
+
+    rnd = random.Random(8)
+    words = [["".join(rnd.choice(first) + rnd.choice("aeiou") for _ in range(rnd.randint(1, 3))) for _ in range(60)] for first in ("bdg", "ptk", "vzx", "lrm")]
+    clean = [(i, " ".join(rnd.choice(words[i % langs]) for _ in range(rnd.choice([1, 5, 40, 200]))), f"l{i % langs}" if i % 5 else None) for i in range(400)]
+    made = ["".join(rnd.choice(letters) for _ in range(400)) for letters in ("abcdefghijklmnopqrstuvwxyz    ", "абвгдежзийклмнопрстуфхцчшщъыьэюя    ", "".join(map(chr, range(0x4E00, 0x9FA5)))) for _ in range(20)]
+    made += [base64.b64encode(rnd.randbytes(300)).decode() for _ in range(20)]
+    df = spark.createDataFrame(clean + [(1000 + i, t, None) for i, t in enumerate(made)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"]: r["lang"] for r in P.identify_language(spark, df, "").collect()}
+    assert not [i for i in kept if i >= 1000]
+    assert sum(i in kept for i, t, _ in clean if len(t) > 20) >= 0.98 * sum(len(t) > 20 for _, t, _ in clean)
+    assert all(kept[i] == f"l{i % langs}" for i, t, _ in clean if i in kept and len(t) > 20)
+
+
 # Pipeline
 
 

@@ -4,6 +4,9 @@ Each language has a codeword of bits. For each bit a logistic classifier on hash
 3-grams of the whole text predicts which side it is on. A text's language is the one whose codeword has
 the least loss, summed over bits and weighed by how well each bit is learned; where two languages are
 nearly as close, the answer is flagged as ambiguous.
+
+The nearest language may still be a wrong one: a text fits it if its n-grams are about as likely there as
+those of the sample's own documents, each judged by the half of the sample that it isn't in.
 """
 
 from __future__ import annotations
@@ -24,6 +27,12 @@ MAX_LANGUAGES = 200
 NONE = "und"
 AMBIGUOUS = 0.2
 FOLDS, HELD_OUT = 4, 2
+#: A text may be so far on the way from a language's own documents to n-grams drawn evenly. Letters drawn evenly are about half way.
+FIT_SLACK = 0.35
+#: At least this share of a language's own documents fits, and a short text may stray by so many standard errors.
+FIT_SHARE, FIT_ERRORS = 0.95, 2.0
+#: Share of n-grams that are taken to be drawn evenly.
+_EVEN = 0.02
 _PART = 1 << 20
 
 
@@ -82,6 +91,15 @@ class Model:
     weights: np.ndarray  # features x bits
     bias: np.ndarray
     trust: np.ndarray  # of bits
+    surprise: np.ndarray  # features x languages: -log of an n-gram's share
+    limit: np.ndarray  # of languages: the largest mean surprise of a long text
+    spread: np.ndarray  # of languages: standard deviation of n-grams' surprise
+
+    def fits(self, x: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """Whether rows of features are as likely in these languages as their own documents are."""
+        shares = np.square(x)
+        mean = np.einsum("ij,ij->i", shares, self.surprise.T[number])
+        return mean <= self.limit[number] + FIT_ERRORS * self.spread[number] / np.sqrt(np.count_nonzero(x, axis=1))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(language numbers, scores, ambiguous) of rows of features."""
@@ -95,13 +113,33 @@ class Model:
         return loss.argmin(axis=1), top[:, 0], top[:, 0] - top[:, 1] < AMBIGUOUS
 
 
+def _surprise(x: np.ndarray) -> np.ndarray:
+    return -np.log((1 - _EVEN) * np.square(x).mean(axis=0) + _EVEN / DIMENSIONS)
+
+
+def _own_fit(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """surprise, limit and spread of the language of these rows. One row alone sets no limit."""
+    surprise = _surprise(x)
+    if len(x) < 2:
+        return surprise, np.inf, 0.0
+    own = np.concatenate([np.square(x[a::2]) @ _surprise(x[1 - a :: 2]) for a in (0, 1)])
+    middle = float(np.median(own))
+    limit = max(middle + FIT_SLACK * (float(surprise.mean()) - middle), float(np.quantile(own, FIT_SHARE)))
+    shares = np.square(x).mean(axis=0)
+    return surprise, limit, float(np.sqrt(shares @ np.square(surprise - shares @ surprise)))
+
+
 def fit(x: np.ndarray, languages: list[str], rounds: int = 200, penalty: float = 1e-5) -> Model:
     """Logistic classifiers of all bits at once, by accelerated gradient steps; languages weigh alike."""
     names = sorted(set(languages))
     codes = codewords(len(names))
-    number = np.array([names.index(k) for k in languages], int)
+    at = {k: i for i, k in enumerate(names)}
+    number = np.array([at[k] for k in languages], int)
+    own = [_own_fit(x[number == i]) for i in range(len(names))]
+    surprise = np.stack([s for s, _, _ in own], axis=1).astype(np.float32) if own else np.zeros((DIMENSIONS, 0), np.float32)
+    limits = surprise, np.array([limit for _, limit, _ in own]), np.array([s for _, _, s in own])
     if len(names) < 2:
-        return Model(names, codes, np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), np.zeros(0))
+        return Model(names, codes, np.zeros((DIMENSIONS, 0), np.float32), np.zeros(0), np.zeros(0), *limits)
     y = codes[number].astype(np.float32)
     weight = (1 / np.bincount(number)[number]).astype(np.float32)[:, None]
     weight /= weight.sum()
@@ -115,7 +153,7 @@ def fit(x: np.ndarray, languages: list[str], rounds: int = 200, penalty: float =
     right = ((x1 @ w) * y > 0).astype(np.float64)
     accuracy = np.clip((weight * right).sum(axis=0), 0.51, 0.999)
     trust = np.log(accuracy / (1 - accuracy))
-    return Model(names, codes, w[:-1], 0.5 * w[-1], trust / trust.mean())
+    return Model(names, codes, w[:-1], 0.5 * w[-1], trust / trust.mean(), *limits)
 
 
 def fold(doc_id: Column) -> Column:
@@ -157,14 +195,15 @@ def train(documents: DataFrame, sample_each: int = SAMPLE_EACH, sample: int = SA
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred, lang_score and lang_ambiguous for each text.
+    """documents with lang_pred, lang_score, lang_ambiguous and lang_fits for each text.
 
-    Null text or no letter: NONE, 0, true; so too for all texts if the model knows no language.
+    lang_fits is false where the text is too unlike lang_pred's own documents, so that it is in no language of
+    the model. Null text or no letter: NONE, 0, true, false; so too for all texts if the model knows no language.
     """
     from pyspark.sql import types as T
 
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("lang_pred string, lang_score double, lang_ambiguous boolean").fields])
+    schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("lang_pred string, lang_score double, lang_ambiguous boolean, lang_fits boolean").fields])
     at_text = documents.columns.index("text")
 
     def run(batches: Iterator):
@@ -178,10 +217,13 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
                 x = [features(t) for t in texts]
                 some = [i for i, f in enumerate(x) if f is not None] if own.languages else []
                 pred, score, vague = [NONE] * len(x), [0.0] * len(x), [True] * len(x)
+                fits = [False] * len(x)
                 if some:
-                    for i, k, s, a in zip(some, *(z.tolist() for z in own.predict(np.stack([x[i] for i in some]))), strict=True):
-                        pred[i], score[i], vague[i] = own.languages[k], min(1.0, s), a
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(vague, pa.bool_())], names=[*part.schema.names, "lang_pred", "lang_score", "lang_ambiguous"])
+                    stacked = np.stack([x[i] for i in some])
+                    number, likely, unsure = own.predict(stacked)
+                    for i, k, s, a, f in zip(some, *(z.tolist() for z in (number, likely, unsure, own.fits(stacked, number))), strict=True):
+                        pred[i], score[i], vague[i], fits[i] = own.languages[k], min(1.0, s), a, f
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(vague, pa.bool_()), pa.array(fits, pa.bool_())], names=[*part.schema.names, "lang_pred", "lang_score", "lang_ambiguous", "lang_fits"])
 
     return documents.mapInArrow(run, schema)
 
