@@ -244,6 +244,19 @@ def test_encoder(name, rows):
         assert ids.tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_special_strings(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.vocabulary(name))
+    enc = tokens.Encoder(tokens.vocabulary(name))
+    rnd = random.Random(6)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", " ", "  ", "\n", "\u3000", "\u0338", "word", "Én", "'s", "12", "."]
+    texts = ["one doc<|endoftext|>next", *parts] + ["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 9))) for _ in range(3000)]
+    for t, ids in zip(texts, enc.ids(texts), strict=True):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 def reference_ids(name, rows):
     enc = tokens.Encoder(tokens.vocabulary(name))
     return [np.append(x, 2).astype("<u4") for x in enc.ids([r[1] or "" for r in rows])]

@@ -3,6 +3,8 @@
 BPE never merges across the pieces that a vocabulary's pre-tokeniser cuts a text into, and a single
 blank between two non-blank characters always starts such a piece. So a text is cut there, each
 distinct piece goes through the library once, and a text's ids are the concatenation of its pieces'.
+A text that holds the string of a special token is cut there first by the library, so that blanks beside
+it count as ends of a text: such texts go through the library whole.
 """
 
 from __future__ import annotations
@@ -71,9 +73,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.max_pieces = max_pieces
         self.lower = "Lowercase" in str(self.tokenizer.normalizer)  # such a vocabulary drops white space too
+        special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.heads = {h for x in special for h in (x[0].lower(), x[0].upper())}
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE if self.lower else 0)
         self._forget()
 
     def _forget(self) -> None:
@@ -113,6 +117,20 @@ class Encoder:
         self.start = np.concatenate([self.start, used + np.cumsum(lengths)])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [i for i, text in enumerate(texts) if text and self._has_special(text)]
+        if not whole:
+            return self._by_pieces(texts)
+        texts = list(texts)
+        found = {}
+        for i in whole:
+            found[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+            texts[i] = ""
+        return [found.get(i, x) for i, x in enumerate(self._by_pieces(texts))]
+
+    def _has_special(self, text: str) -> bool:
+        return any(h in text for h in self.heads) and self.special.search(text) is not None
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         block: list[list[str]] = []
         size = 0
