@@ -465,6 +465,12 @@ def test_language(spark):
     assert langid.predict_languages(df.limit(0)).count() == 0
 
 
+def test_letters_above_the_basic_plane():
+    assert langid.features("😀🎉 12 😀") is None and langid.features("\U0001d7d8") is None
+    assert langid.features("𐐷") is not None and langid.features("𠀀 1") is not None
+    assert (langid.features("clean text 😀 here") == langid.features("clean text . here")).all()
+
+
 @pytest.mark.parametrize("langs", [1, 2, 4])
 def test_foreign_texts(spark, langs):
     import base64

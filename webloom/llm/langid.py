@@ -37,8 +37,8 @@ _PART = 1 << 20
 
 
 def _letters() -> np.ndarray:
-    """For each code below 0x10000: 1 if it is a letter."""
-    return np.fromiter((chr(c).isalpha() for c in range(0x10000)), np.uint8, 0x10000)
+    """For each code point whether it is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 _table: np.ndarray | None = None
@@ -54,7 +54,7 @@ def features(text: str | None) -> np.ndarray | None:
     any_letter = False
     for at in range(0, len(lower), _PART):
         codes = np.frombuffer(lower[max(0, at - 2) : at + _PART].encode("utf-32-le", "replace"), np.uint32)
-        letter = np.where(codes < 0x10000, _table[np.minimum(codes, 0xFFFF)], 1).astype(bool)
+        letter = _table[codes]
         any_letter |= bool(letter.any())
         c = np.where(letter, codes, 32).astype(np.uint32)
         for n in (1, 2, 3):
