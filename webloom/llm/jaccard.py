@@ -1,11 +1,12 @@
-"""Exact similarity join of documents on word shingles, by a MinHash LSH forest.
+"""Exact similarity join of documents on word shingles, by MinHash banding.
 
-1. Each text's set of five-word shingles (64-bit hashes) gets a key and TREES labels of DEPTH minhashes.
+1. Each text's set of five-word shingles (64-bit hashes) gets a key and TREES labels, each a hash of d minhashes.
    Equal sets share a key and are one *class* from then on, so copies cost one row each.
-2. A tree of the forest is its labels in sorted order; classes that agree in a label's first d
-   minhashes are neighbours there (a node of the prefix trie). From DEPTH the prefix is shortened until
-   pairs at the threshold meet in some tree with the target probability 1 - (1 - t^d)^trees. Nodes with
-   the same members in several trees are kept once.
+2. Classes that agree in a label are a node of that tree. d is fixed before any row is read: the longest
+   at most DEPTH at which pairs at the threshold meet in some tree with the target probability
+   1 - (1 - t^d)^trees. An LSH forest that sorts labels of DEPTH and shortens them to this d has the same
+   candidates, as whoever agrees in more minhashes agrees in the first d; it isn't built. Nodes with the
+   same members in several trees are kept once.
 3. A node's members get their whole shingle sets, and pairs are verified exactly, each in the first
    tree that it meets in. A node of more than BLOCK members is dealt out as pairs of blocks, so a task
    holds two blocks. What leaves a node grows with its members, not with its pairs: each member's number
