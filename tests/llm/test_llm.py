@@ -421,6 +421,16 @@ def test_secrets(spark, none):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_keys_without_digits(spark):
+    rnd = random.Random(11)
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["".join(rnd.choice(letters) for _ in range(24)) for letters in (upper + upper.lower(), upper) for _ in range(100)]
+    words = ["Donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATIONCOMMITTEE", "/Users/someone/Documents/Letters", "getElementsByTagNameFromDocument", "honorificabilitudinitatibus"]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(keys + words)], "doc_id long, text string")
+    got = {r["doc_id"] for r in secrets.find_secrets(df).where(r"spans rlike '^random:4:\\d+$'").collect()}
+    assert sum(i in got for i in range(100)) >= 80 and sum(i in got for i in range(100, 200)) >= 80 and not got & set(range(200, 205))
+
+
 def test_p_random(spark):
     rnd = random.Random(9)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"

@@ -1,7 +1,8 @@
 r"""Secrets in texts: known forms, and strings that look random.
 
 Known forms are assignments to names like password, access keys, and long hexadecimal strings. Besides,
-runs of 20 and more letters, digits and +/_=- that hold letters and digits both are put to a battery
+runs of 20 and more letters, digits and +/_=- that hold letters and digits both, or letters of both cases,
+or are base-32 (by chance such strings hold no digit) are put to a battery
 of tests for randomness over the alphabet of the encoding they seem to be in: chi-squared uniformity
 (Wilson-Hilferty's approximation), runs above and below the middle, and serial correlation. Fisher's
 method makes one p-value of the three (of the hypothesis "random"). Text-like strings have small ones: per octave of
@@ -24,6 +25,8 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+#: Runs that are tested: with letters and digits, with letters of both cases, or base-32.
+KEYLIKE = r"^(?:(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z])(?=.*[A-Z])|(?=.*[A-Z])[A-Z2-7]+=*$)"
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE = 6
 #: Share of falsely dropped strings among the dropped, per octave of length.
@@ -110,7 +113,7 @@ def _with_finds(documents: DataFrame) -> DataFrame:
     df = df.select("*", *[_located(f"__m{k}", f"__b{k}", k).alias(f"__s{k}") for k in range(4)])
     base = F.concat(F.filter("__s0", lambda s: F.length(F.regexp_extract(s["text"], ASSIGN, 2)) >= MIN_VALUE), "__s1", "__s2")
     df = df.withColumn("__base", F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop")))))
-    own = F.filter("__s3", lambda s: s["text"].rlike("[0-9]") & s["text"].rlike("[A-Za-z]") & ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    own = F.filter("__s3", lambda s: s["text"].rlike(KEYLIKE) & ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     runs = F.transform(
         own,
         lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["stop"].alias("stop"), F.floor(F.log2((s["stop"] - s["start"]).cast("double"))).cast("int").alias("octave"), p_random(s["text"]).alias("p")),
