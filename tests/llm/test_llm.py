@@ -475,6 +475,12 @@ def test_language(spark):
     assert langid.predict_languages(df.limit(0)).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    names = [a + b for a in "bcdfghjklmnpqrs" for b in "aeiouabcdefghijklm"[:14]]
+    df = spark.createDataFrame([(10 * i + j, f"{n}{n} x{n} {n}y " * 3, n) for i, n in enumerate(sorted(set(names))) for j in range(10)], "doc_id long, text string, lang string")
+    assert df.select("lang").distinct().count() > 150 and len(langid.train(df.unionByName(df.withColumn("lang", F.concat("lang", F.lit("2"))))).languages) == 2 * len(set(names))
+
+
 def test_letters_above_the_basic_plane():
     assert langid.features("😀🎉 12 😀") is None and langid.features("\U0001d7d8") is None
     assert langid.features("𐐷") is not None and langid.features("𠀀 1") is not None

@@ -22,8 +22,6 @@ DIMENSIONS = 4096
 #: Learned from a sample: so many documents of each language, as drawn by hash, of SAMPLE in all.
 SAMPLE_EACH = 400
 SAMPLE = 4000
-#: The most frequent languages are learned.
-MAX_LANGUAGES = 200
 NONE = "und"
 AMBIGUOUS = 0.2
 FOLDS, HELD_OUT = 4, 2
@@ -164,19 +162,17 @@ def fold(doc_id: Column) -> Column:
 def train(documents: DataFrame, sample_each: int = SAMPLE_EACH, sample: int = SAMPLE) -> Model:
     """Learn from text and lang of documents(doc_id, text, lang) outside the held-out fold with a lang.
 
-    A bounded sample: languages are counted over all rows, and of each about sample_each documents (fewer
-    if there are many languages: `sample` in all) are drawn by the hash of their id. Null ids and texts teach nothing.
+    Every lang is learned. Languages are counted over all rows, and of each about sample_each documents (fewer
+    if there are many languages: `sample` in all, but 10 of each) are drawn by the hash of their id. Null ids and texts teach nothing.
     """
     lang = F.col("lang").cast("string")
     rows = documents.select(F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang")).where((fold(F.col("doc_id")) != HELD_OUT) & lang.isNotNull())
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return fit(np.zeros((0, DIMENSIONS), np.float32), [])
     each = max(10, min(sample_each, sample // len(counts)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    limit = F.lit(0)
-    for name, n in counts.items():
-        limit = F.when(F.col("lang") == name, F.lit(min(1 << 30, -(-(each << 30) // n)))).otherwise(limit)
+    limits = documents.sparkSession.createDataFrame([(name, min(1 << 30, -(-(each << 30) // n))) for name, n in counts.items()], "lang string, limit long")
 
     def extract(batches: Iterator):
         import pyarrow as pa
@@ -187,7 +183,8 @@ def train(documents: DataFrame, sample_each: int = SAMPLE_EACH, sample: int = SA
                 found = [(k, x) for k, x in zip(part.column("lang").to_pylist(), map(features, part.column("text").to_pylist()), strict=True) if x is not None]
                 yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["lang", "x"])
 
-    got = rows.where((place < limit) & F.col("text").isNotNull()).mapInArrow(extract, "lang string, x binary").toArrow()
+    drawn = rows.where(F.col("text").isNotNull()).join(F.broadcast(limits), "lang").where(place < F.col("limit"))
+    got = drawn.select("doc_id", "text", "lang").mapInArrow(extract, "lang string, x binary").toArrow()
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     names = got.column("lang").to_pylist()
     order = sorted(range(len(names)), key=lambda i: (names[i], x[i].tobytes()))  # the same model whatever the order of tasks
