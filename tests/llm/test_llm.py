@@ -354,6 +354,15 @@ def test_hosts(spark):
     assert not kept[1000] and kept[1] and kept[2001]
 
 
+@pytest.mark.parametrize("rule", list(quality.HOST_RULES))
+def test_each_rule_condemns_a_host(spark, rule):
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = {"few_words": "few", "repeated": "a1 b2 c3 d4 e5 f6 g7 h8 " * 5, "symbols": " ".join(f"w{i}#" for i in range(40)), "word_length": " ".join(f"{i:020d}" for i in range(40))}[rule]
+    rows = [(i, good, f"h{i % 7}") for i in range(700)] + [(1000 + i, bad if i % 10 else good, "bad") for i in range(60)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge_documents(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not kept[1000] and kept[1]
+
+
 # Sharding
 
 
