@@ -187,6 +187,47 @@ def test_depth():
     assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
 
 
+@pytest.mark.parametrize("evidence", [1, 10**9])
+def test_forest_recall(spark, evidence):
+    """Links found among near copies of all similarities around the threshold, in large subtries, against brute force."""
+    rnd = random.Random(12)
+    rows = []
+    for family in range(12):
+        base = prose(rnd, 90).split(" ")
+        for _ in range(60):
+            words = list(base)
+            for at in rnd.sample(range(90), rnd.choice([0, 1, 1, 2, 3])):
+                words[at] = f"{family}x{rnd.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(words), None, "a"))
+    sets = [frozenset(_shingles(r[1])) for r in rows]
+    wanted = sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for i, a in enumerate(sets) for b in sets[i - i % 60 : i]) * 2
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), evidence=evidence)
+    found = got.agg(F.sum("n_links")).first()[0]
+    assert wanted > 10_000 and 0.999 * wanted <= found <= wanted
+
+
+def test_measured_recall():
+    rng = np.random.default_rng(3)
+    s = rng.uniform(0.8, 1, 200_000)
+    for depth in (8, 6):
+        p = 1 - (1 - s**depth) ** 24
+        met = rng.random(len(s)) < p
+        assert abs(jaccard.measured_recall(s[met], depth, 24) - met.mean()) < 1e-3
+    assert jaccard.measured_recall(s[:0], 8, 24) == 0
+
+
+def test_labels_are_paths():
+    rng = np.random.default_rng(4)
+    a = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
+    b = np.concatenate([a[:-60], rng.integers(0, 2**63, 60).astype(np.uint64)])
+    x, y = jaccard.labels(a, 400), jaccard.labels(np.unique(b), 400)
+    j = 440 / 560
+    for depth in (1, 2, 4):
+        cut = np.uint64(8 * (jaccard.DEPTH - depth))
+        assert abs((x >> cut == y >> cut).mean() - j**depth) < 0.09
+    assert (jaccard.labels(a[::-1], 24) == jaccard.labels(a, 24)).all()
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 80), rnd.randint(0, 80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]

@@ -17,12 +17,14 @@ _own_folder: str | None = None
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below the cluster's shared folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only where it is unset (tests, one machine) a
-    temporary folder of this process takes its place.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset and all runs on one machine (a
+    local master, as in tests) a temporary folder of this process takes its place.
     """
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own_folder is None:
             _own_folder = tempfile.mkdtemp(prefix="webloom-")
         base = f"file://{_own_folder}"
@@ -47,6 +49,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names made of these that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of WORDs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

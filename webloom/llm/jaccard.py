@@ -1,21 +1,26 @@
-"""Exact similarity join of documents on word shingles, by MinHash banding.
-
-1. Each text's set of five-word shingles (64-bit hashes) gets a key and TREES labels, each a hash of d minhashes.
-   Equal sets share a key and are one *class* from then on, so copies cost one row each.
-2. Classes that agree in a label are a node of that tree. d is fixed before any row is read: the longest
-   at most DEPTH at which pairs at the threshold meet in some tree with the target probability
-   1 - (1 - t^d)^trees. An LSH forest that sorts labels of DEPTH and shortens them to this d has the same
-   candidates, as whoever agrees in more minhashes agrees in the first d; it isn't built. Nodes with the
-   same members in several trees are kept once.
-3. A node's members get their whole shingle sets, and pairs are verified exactly, each in the first
-   tree that it meets in. A node of more than BLOCK members is dealt out as pairs of blocks, so a task
-   holds two blocks. What leaves a node grows with its members, not with its pairs: each member's number
-   of links and a spanning forest of them.
-4. Linked classes are joined into groups by alternating star contraction.
+"""Exact similarity join of documents on word shingles, by a MinHash LSH forest.
+
+1. Each text's set of five-word shingles (64-bit hashes) gets a key and TREES labels. A label is DEPTH minhashes,
+   a byte of each, first to last: a path in that tree's prefix trie, kept as one 64-bit number, so that labels in
+   the order of unsigned numbers are the trie's leaves from left to right. Equal sets share a key and are one *class* from
+   then on, so copies cost one row each.
+2. Classes that agree in the shortest prefix that a descent may end at are brought together: they are a subtrie. That
+   length is the longest at which pairs at the threshold meet in some tree with the wanted recall,
+   1 - (1 - t^d)^trees. Subtries with the same members in several trees are kept once.
+3. A subtrie's members get their whole shingle sets and are sorted by label. Descent begins at whole labels: runs
+   that agree in a prefix are verified exactly, then the prefix is shortened by one and what meets newly is
+   verified, until the recall that the found pairs' similarities show is enough (each pair of similarity s was met with
+   probability 1 - (1 - s^d)^trees, so it stands for the inverse of that many), or the shortest prefix is reached. Where
+   fewer than EVIDENCE pairs were found nothing is concluded from them. A pair counts where it meets first: in the tree
+   of its longest common prefix, of several the first.
+4. A subtrie of more than BLOCK members is dealt out as pairs of blocks, so a task holds two blocks. What leaves it grows
+   with its members, not with its pairs: each member's number of links and a spanning forest of them.
+5. Linked classes are joined into groups by alternating star contraction.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -23,22 +28,23 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import written
+from webloom.llm.common import unused, written
 
 WORDS = 5
 THRESHOLD = 0.8
 TREES = 24
-DEPTH = 10
+#: Levels of a trie; a byte each, so a label is a 64-bit number.
+DEPTH = 8
 RECALL = 0.999
+#: Measured recall at which a descent ends above the shortest prefix, and the least number of found pairs that measure it.
+MEASURED, EVIDENCE = 0.9999, 500
 BLOCK = 512
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
-#: Largest number of words whose hashes a worker remembers.
-_REMEMBERED = 500_000
 
 
 def depth_for(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
     """The longest prefix at which pairs of this similarity meet in some tree with probability recall."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+    while depth > 1 and (1 - threshold**depth) ** trees > 1 - recall:
         depth -= 1
     return depth
 
@@ -50,17 +56,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-_words = _WordHashes()
+def _seeded() -> None:
+    """Workers hash strings alike only if their seed is fixed, which Spark's driver does; fail rather than miss links."""
+    if os.environ.get("PYTHONHASHSEED", "random") == "random":
+        raise RuntimeError("PYTHONHASHSEED isn't set in this worker")
 
 
 def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -68,7 +67,7 @@ def shingles(text: str | None, width: int = WORDS) -> np.ndarray:
     every = [w for w in _SPLIT.split(text or "") if w]
     if not every:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, every), np.uint64, len(every))
+    h = _mixed(np.fromiter(map(hash, every), np.int64, len(every)).view(np.uint64))
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)
     for j in range(min(width, len(h))):
@@ -81,19 +80,16 @@ def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
 
-def labels(sets: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """For each tree a hash of its label's first `depth` minhashes."""
-    a, b = _permutations(trees * depth)
+def labels(sets: np.ndarray, trees: int) -> np.ndarray:
+    """For each tree the label: a byte of each of DEPTH minhashes, the first one highest."""
+    a, b = _permutations(trees * DEPTH)
     low = np.full(len(a), 0xFFFFFFFF, np.uint32)
     h = (sets >> np.uint64(32)).astype(np.uint32)
     h2 = sets.astype(np.uint32) | np.uint32(1)
     for at in range(0, len(h), 1024):
         x = h[at : at + 1024, None] * a[None, :] + h2[at : at + 1024, None] * b[None, :]
         np.minimum(low, x.min(axis=0), out=low)
-    out = np.zeros(trees, np.uint64)
-    for column in low.reshape(trees, depth).T:
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + column.astype(np.uint64) + np.uint64(1))
-    return out
+    return (_mixed(low.astype(np.uint64)) & np.uint64(0xFF)).astype(np.uint8).reshape(trees, DEPTH).view(">u8")[:, 0].astype(np.uint64)
 
 
 def _key(sets: np.ndarray) -> bytes:
@@ -102,75 +98,128 @@ def _key(sets: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(sets.tobytes())
 
 
-def signatures(documents: DataFrame, trees: int, depth: int, width: int = WORDS) -> DataFrame:
+def signatures(documents: DataFrame, trees: int, width: int = WORDS) -> DataFrame:
     """doc_id, key (null: no words) and labels of each row of documents(doc_id, text)."""
 
     def sign(batches: Iterator):
         import pyarrow as pa
 
+        _seeded()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = [shingles(t, width) for t in part.column("text").to_pylist()]
                 keys = [_key(s) if len(s) else None for s in sets]
-                signed = [labels(s, trees, depth).astype(np.int64).tolist() if len(s) else None for s in sets]
+                signed = [labels(s, trees).view(np.int64).tolist() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), pa.array(signed, pa.list_(pa.int64()))], names=["doc_id", "key", "labels"])
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(sign, "doc_id long, key binary, labels array<long>")
 
 
-def _members(classes: DataFrame) -> DataFrame:
-    """(key, tree, label, members): classes at trie nodes of two classes and more."""
-    spread = classes.select("key", F.posexplode("labels").alias("tree", "label"))
-    return spread.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("tree", "label"))).where("members > 1")
+def _members(classes: DataFrame, floor: int) -> DataFrame:
+    """(key, tree, prefix, members): classes in subtries of two classes and more.
+
+    Subtries are counted first, with partial sums, and joined back: a hot one is a skewed partition of a merge join,
+    which adaptive execution splits, and no window holds it.
+    """
+    spread = classes.select("key", F.posexplode("labels").alias("tree", "label")).select("key", "tree", F.shiftrightunsigned("label", 8 * (DEPTH - floor)).alias("prefix"))
+    spread = written(spread, "labels")
+    counted = spread.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return spread.join(counted.hint("merge"), ["tree", "prefix"])
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """(tree, label, node): of nodes with the same classes in several trees, the one of the first tree."""
+    """(tree, prefix, node): of subtries with the same classes in several trees, the one of the first tree."""
     h = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
-    nodes = members.groupBy("tree", "label", "members").agg(*h)
-    return nodes.groupBy("x1", "x2", "members").agg(F.min(F.struct("tree", "label")).alias("first")).select("first.tree", "first.label", F.xxhash64("first.tree", "first.label").alias("node"))
+    nodes = members.groupBy("tree", "prefix", "members").agg(*h)
+    return nodes.groupBy("x1", "x2", "members").agg(F.min(F.struct("tree", "prefix")).alias("first")).select("first.tree", "first.prefix", F.xxhash64("first.tree", "first.prefix").alias("node"))
 
 
-def _verified(rows: DataFrame, threshold: float) -> DataFrame:
-    """(key, links, other): links that a node (or pair of blocks) adds to a class, and one edge of its spanning forest."""
+def _verified(rows: DataFrame, threshold: float, floor: int, measured: float, evidence: int) -> DataFrame:
+    """(key, links, other): links that a subtrie (or pair of blocks) adds to a class, and one edge of its spanning forest."""
 
     def verify(batches: Iterator):
         held: list[tuple] = []
         place = None
         for batch in batches:
-            columns = [batch.column(c) for c in ("node", "i", "j", "tree", "block", "key", "labels", "shingles")]
+            columns = [batch.column(c) for c in ("node", "i", "j", "tree", "block", "key", "labels", "docs", "shingles")]
             for at in range(batch.num_rows):
                 row = tuple(c[at] for c in columns)
                 here = (row[0].as_py(), row[1].as_py(), row[2].as_py())
                 if here != place:
                     if held:
-                        yield from _links(held, place, threshold)
+                        yield from _links(held, place, threshold, floor, measured, evidence)
                     held, place = [], here
-                held.append((row[3].as_py(), row[4].as_py(), row[5].as_py(), row[6].values.to_numpy(zero_copy_only=False), np.frombuffer(row[7].as_py(), np.uint64)))
+                held.append((row[3].as_py(), row[4].as_py(), row[5].as_py(), row[6].values.to_numpy(zero_copy_only=False), row[7].as_py(), np.frombuffer(row[8].as_py(), np.uint64)))
         if held:
-            yield from _links(held, place, threshold)
+            yield from _links(held, place, threshold, floor, measured, evidence)
 
     return rows.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(verify, "key binary, links long, other binary")
 
 
-def _links(held: list[tuple], place: tuple, threshold: float):
+def measured_recall(similarities: np.ndarray, depth: int, trees: int) -> float:
+    """Share of pairs that prefixes of this depth bring together, as the similarities of those that met show it."""
+    if not len(similarities):
+        return 0.0
+    return float(len(similarities) / (1 / (1 - (1 - similarities**depth) ** trees)).sum())
+
+
+def _descended(signed: np.ndarray, sets: list[np.ndarray], tree: int, apart: np.ndarray | None, threshold: float, floor: int, measured: float, evidence: int) -> np.ndarray:
+    """Which members of a subtrie of this tree are linked, by pairs that meet here first; prefixes shorten one by one.
+
+    Members are in the order of their labels in the tree. apart: pairs that are in other blocks than this one's.
+    """
+    n, trees = signed.shape
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    linked = np.zeros((n, n), bool)
+    found = np.zeros(0)
+    whole = _common(sets) if n <= 64 else None
+    inner = np.full(n, -1)  # the run that a member was in a level before
+    inner_size = np.ones(n, np.int64)
+    for depth in range(DEPTH, floor - 1, -1):
+        cut = np.uint64(8 * (DEPTH - depth))
+        prefix = signed >> cut
+        ends = np.flatnonzero(np.concatenate([prefix[1:, tree] != prefix[:-1, tree], [True]])) + 1
+        first = 0
+        for run, end in enumerate(ends.tolist()):
+            at, size = slice(first, end), end - first
+            if size > 1 and inner_size[first] < size:
+                common = whole[at, at] if whole is not None else _common(sets[at])
+                close = common >= threshold * (sizes[at, None] + sizes[None, at] - common) - 1e-9
+                if depth < DEPTH:
+                    close &= inner[at, None] != inner[None, at]
+                if apart is not None:
+                    close &= apart[at, at]
+                a, b = np.nonzero(np.triu(close, 1))
+                if len(a):
+                    # pairs that a longer prefix, or an equally long one of an earlier tree, brings together count there
+                    x, y = signed[first + a], signed[first + b]
+                    seen = (x[:, :tree] >> cut == y[:, :tree] >> cut).any(axis=1)
+                    if depth < DEPTH:
+                        up = np.uint64(8 * (DEPTH - depth - 1))
+                        seen |= (x >> up == y >> up).any(axis=1)
+                    a, b = a[~seen], b[~seen]
+                    linked[first + a, first + b] = linked[first + b, first + a] = True
+                    both = common[a, b]
+                    found = np.concatenate([found, both / (sizes[first + a] + sizes[first + b] - both)])
+            inner[at], inner_size[at] = run, size
+            first = end
+        if len(found) >= evidence and measured_recall(found, depth, trees) >= measured:
+            break
+    return linked
+
+
+def _links(held: list[tuple], place: tuple, threshold: float, floor: int, measured: float, evidence: int):
     import pyarrow as pa
 
-    tree, keys, sets = held[0][0], [x[2] for x in held], [x[4] for x in held]
-    signed = np.stack([x[3] for x in held])
-    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    tree = held[0][0]
+    held = sorted(held, key=lambda x: (int(np.uint64(x[3][tree].view(np.uint64))), x[2]))
+    keys = [x[2] for x in held]
+    signed = np.stack([x[3] for x in held]).view(np.uint64)
     block = np.array([x[1] for x in held])
-    common = _common(sets)
-    linked = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-    # pairs that meet in an earlier tree are verified there
-    for t in range(tree):
-        column = signed[:, t]
-        linked &= column[:, None] != column[None, :]
-    if place[1] != place[2]:
-        linked &= block[:, None] != block[None, :]
-    np.fill_diagonal(linked, False)
+    apart = block[:, None] != block[None, :] if place[1] != place[2] else None
+    linked = _descended(signed, [x[5] for x in held], tree, apart, threshold, floor, measured, evidence)
     seen = np.zeros(len(keys), bool)
     other = np.full(len(keys), -1)
     for root in range(len(keys)):
@@ -186,9 +235,8 @@ def _links(held: list[tuple], place: tuple, threshold: float):
             todo.extend(new.tolist())
     some = np.flatnonzero(linked.any(axis=1))
     if len(some):
-        # the number of a class's documents stands behind its labels
-        docs = signed[:, -1]
-        counts = (linked.astype(np.float64) @ docs.astype(np.float64)).astype(np.int64)
+        docs = np.array([x[4] for x in held], np.float64)
+        counts = (linked.astype(np.float64) @ docs).astype(np.int64)
         yield pa.RecordBatch.from_arrays(
             [pa.array([keys[i] for i in some], pa.binary()), pa.array(counts[some]), pa.array([keys[other[i]] if other[i] >= 0 else None for i in some], pa.binary())],
             names=["key", "links", "other"],
@@ -240,30 +288,30 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def join_documents(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, width: int = WORDS, block: int = BLOCK) -> DataFrame:
+def join_documents(documents: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, width: int = WORDS, block: int = BLOCK, measured: float = MEASURED, evidence: int = EVIDENCE) -> DataFrame:
     """A row per document(doc_id, text): doc_id, class_id, n_links, key (of its class), root (key of its group).
 
     Two documents are linked if the Jaccard similarity of their shingle sets is threshold or more.
     class_id is the smallest doc_id in the document's group (linked directly or through others), n_links
     the number of other documents it is linked to, copies counted. Texts of fewer words than a shingle
     are one shingle; null texts and texts of no word have no links and are groups of their own. Repeated
-    rows are copies. A null doc_id doesn't name a group unless no document of it has an id; then class_id is null.
+    rows are copies. Prefixes are never cut shorter than a pair at the threshold needs to meet with probability recall; recall = 1
+    cuts down to one minhash, where such a pair is missed once in 10^16, at the price of far more candidates. A null doc_id doesn't name a group unless no document of it has an id; then class_id is null.
     """
-    d = depth_for(threshold, trees, depth, recall)
-    signed = written(signatures(documents, trees, d, width), "signed")
+    floor = depth_for(threshold, trees, DEPTH, recall)
+    signed = written(signatures(documents, trees, width), "signed")
     classes = signed.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("least_id"), F.first("labels").alias("labels"))
     classes = written(classes, "classes")
-    members = written(_members(classes), "members")
-    met = members.join(_nodes(members).hint("merge"), ["tree", "label"])
+    members = written(_members(classes, floor), "members")
+    met = members.join(_nodes(members).hint("merge"), ["tree", "prefix"])
     met = met.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     # a member of block b is in the pairs (b, b), (b, j) and (i, b)
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
     met = written(met.select("key", "node", "tree", "block", F.explode(pairs).alias("p")).select("key", "node", "tree", "block", "p.i", "p.j"), "met")
     wanted = met.select("key").distinct()
-    # the number of documents of a class goes behind its labels
-    signs = classes.join(wanted, "key", "left_semi").select("key", F.concat("labels", F.array("docs")).alias("labels"))
+    signs = classes.join(wanted, "key", "left_semi").select("key", "labels", "docs")
     sets = written(_shingle_sets(documents, signed, wanted, width).join(signs, "key"), "sets")
-    found = written(_verified(met.join(sets.hint("merge"), "key"), threshold), "links")
+    found = written(_verified(met.join(sets.hint("merge"), "key"), threshold, floor, measured, evidence), "links")
     groups = components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
     ids = classes.select("key", "docs", "least_id").join(groups.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
@@ -285,6 +333,7 @@ def _shingle_sets(documents: DataFrame, signed: DataFrame, wanted: DataFrame, wi
     def build(batches: Iterator):
         import pyarrow as pa
 
+        _seeded()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 sets = [s for s in map(lambda t: shingles(t, width), batch.slice(at, 256).column("text").to_pylist()) if len(s)]
@@ -311,16 +360,18 @@ def keep_one(documents: DataFrame, **options) -> DataFrame:
     from pyspark.sql import types as T
 
     width, at_text = options.get("width", WORDS), documents.columns.index("text")
+    key, first_id = unused(documents, "key", "first_id")
 
     def add_key(batches: Iterator):
         import pyarrow as pa
 
+        _seeded()
         for batch in batches:
             sets = (shingles(t, width) for t in batch.column(at_text).to_pylist())
             keys = pa.array([_key(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, "__key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], names=[*batch.schema.names, key])
 
-    keyed = documents.mapInArrow(add_key, T.StructType([*documents.schema.fields, T.StructField("__key", T.BinaryType())]))
-    first = found.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias("__id"), F.col("f.key").alias("__key"))
-    one = keyed.join(first, "__key").where(F.col("doc_id").eqNullSafe(F.col("__id"))).dropDuplicates(["__key"])
-    return one.select(*documents.columns).unionByName(keyed.where("__key is null").select(*documents.columns))
+    keyed = documents.mapInArrow(add_key, T.StructType([*documents.schema.fields, T.StructField(key, T.BinaryType())]))
+    first = found.where("key is not null").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("f")).select(F.col("f.doc_id").alias(first_id), F.col("f.key").alias(key))
+    one = keyed.join(first, key).where(F.col("doc_id").eqNullSafe(F.col(first_id))).dropDuplicates([key])
+    return one.select(*documents.columns).unionByName(keyed.where(F.col(key).isNull()).select(*documents.columns))
