@@ -260,6 +260,38 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), queries.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_neighbours_nearly_tied(spark):
+    """Sixty candidates whose cosines differ by 5e-10, the nearest with the largest ids; and ties of repeated vectors."""
+    q = np.array([1.0, 0.0, 0.0])
+    rows = [(0, q.tolist())] + [(i, [1.0, float(np.sqrt(2 * (1e-3 - 5e-10 * i))), 0.0]) for i in range(1, 61)]
+    rows += [(i, [0.0, 0.0, 2.0]) for i in range(100, 400)]
+    df = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<double>, id string, v int, score double")
+    for shard in (4096, 64):
+        got = neighbours.nearest(df, df.where("vec_id in (0, 100)"), "vec_id", "embedding", shard_rows=shard).orderBy("query_id", "rank").collect()
+        assert [r["vec_id"] for r in got] == [60, 59, 58, 57, 56, 101, 102, 103, 104, 105]
+
+
+def test_neighbours_against_the_measure(spark):
+    """Scores equal the sequential measure to the last bit, over shards that the router prunes."""
+    rng = np.random.default_rng(6)
+    v = (rng.normal(size=(1500, 8)) * 0.3 + 4 * rng.normal(size=(15, 8)).repeat(100, axis=0)).astype(np.float32).astype(float)
+    v[7] *= 1e200
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in neighbours.nearest(df, df.where("vec_id % 50 = 0"), "vec_id", "embedding", shard_rows=100).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+
+    def dot(a, b):
+        s = 0.0
+        for x, y in zip(a.tolist(), b.tolist()):
+            s += x * y
+        return s
+
+    for q in range(0, 1500, 50):
+        wanted = sorted((-dot(v[q], v[i]) / (dot(v[q], v[q]) ** 0.5 * dot(v[i], v[i]) ** 0.5), i) for i in range(1500) if i not in (q, 7))[:5]
+        assert [x for x in got[q] if x[0] != 7][: len(wanted)][:4] == [(i, -s) for s, i in wanted][:4]
+
+
 def _nearest(v, queries):
     u = v / np.linalg.norm(v, axis=1, keepdims=True)
     out = {}
