@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word of the contracts: anything between ASCII white space.
@@ -61,6 +61,23 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """df with the running sum of each of sums, in an order without ties, its own row's included.
+
+    Rows are dealt by ranges, summed in each, and the sums of earlier ranges (one row a range) are added.
+    """
+    part, *names = unused(df, "range", *sums)
+    dealt = df.select("*", *[c.alias(n) for n, c in zip(names, sums.values(), strict=True)]).repartitionByRange(*order)
+    dealt = written(dealt.withColumn(part, F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(part).agg(*[F.sum(n).alias(n) for n in names])
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col(part).alias("at"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"before_{k}") for k, n in enumerate(names)])
+    within = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = dealt.select(*df.columns, part, *[F.sum(n).over(within).alias(f"within_{k}") for k, n in enumerate(names)])
+    # a row a range: as many as there are shuffle partitions
+    return rows.join(F.broadcast(totals), F.col(part) == F.col("at")).select(*df.columns, *[(F.col(f"within_{k}") + F.col(f"before_{k}")).alias(name) for k, name in enumerate(sums)])
+
+
 def n_words(text: Column) -> Column:
     """Number of WORDs; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

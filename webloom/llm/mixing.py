@@ -20,7 +20,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import n_words, written
+from webloom.llm.common import n_words, running_sums, unused, written
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -30,7 +30,8 @@ MOST = 2
 EXACT = 4096
 #: Rows of one cell that one task ranks.
 RANKED = 100_000
-ROUNDS = 60
+#: Newton's steps; what isn't near its target after these is found by halving the bracket, as far as doubles go.
+ROUNDS = 30
 NEAR = 1e-7
 
 
@@ -40,23 +41,19 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share
     Sources by code point, null last, weigh `weights`, repeating, and share `share` of all sizes. A
     target stops at `most` times its source's size; the excess is shared by weight among the others
     until none is above. In closed form: by ascending ratio of limit to weight a prefix of sources is at
-    its limit, and the others have one level times their weight. One row a source, so its windows are
-    over as many rows as there are sources.
+    its limit, and the others have one level times their weight. Sources may be many: they are numbered and summed in
+    ranges, and no task holds them all.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("sid") % len(weights) + 1).cast("int"))
-    ranked = sources.withColumn("sid", F.row_number().over(order) - 1).withColumn("weight", w).withColumn("limit", F.col("source_size").cast("double") * most)
-    all_rows = Window.partitionBy()
-    by_ratio = Window.orderBy(F.col("limit") / F.col("weight"), "sid")
-    earlier = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    later = by_ratio.rowsBetween(0, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(all_rows) * F.lit(share) - F.coalesce(F.sum("limit").over(earlier), F.lit(0.0))) / F.sum("weight").over(later)
+    ranked = running_sums(sources, [F.col("source").asc_nulls_last()], {"sid": F.lit(1)}).withColumn("sid", F.col("sid") - 1)
+    ranked = ranked.withColumn("weight", w).withColumn("limit", F.col("source_size").cast("double") * most).withColumn("ratio", F.col("limit") / F.col("weight"))
+    ranked = running_sums(ranked, [F.col("ratio"), F.col("sid")], {"limits": F.col("limit"), "weights": F.col("weight")})
+    size, weight = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
     # the level that holds if this source and those of larger ratio are below their limits
-    leveled = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") < F.col("limit"))
-    found = F.min(F.when(F.col("free"), F.struct((F.col("limit") / F.col("weight")).alias("ratio"), "sid", "level"))).over(all_rows)["level"]
-    leveled = leveled.withColumn("found", found)
-    target = F.when(F.col("found").isNull(), F.col("limit")).otherwise(F.least(F.col("limit"), F.col("found") * F.col("weight")))
-    return leveled.withColumn("target", target).drop("weight", "limit", "level", "free", "found")
+    level = (F.lit(float(size) * share) - (F.col("limits") - F.col("limit"))) / (F.lit(weight) - F.col("weights") + F.col("weight"))
+    found = ranked.withColumn("level", level).where("level * weight < limit").agg(F.min(F.struct("ratio", "sid", "level"))["level"]).first()[0]
+    target = F.col("limit") if found is None else F.least(F.col("limit"), F.lit(found) * F.col("weight"))
+    return ranked.withColumn("target", target).drop("weight", "limit", "ratio", "limits", "weights")
 
 
 def _cell(size: Column) -> Column:
@@ -80,7 +77,9 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         .select("*", F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), F.lit(False).alias("done")),
         "mix-tilts",
     )
-    for _ in range(ROUNDS):
+    rounds = 0
+    while True:
+        rounds += 1
         x = F.col("size") / F.col("mean")
         rate = _rate(x, F.col("tilt"))
         # one Newton step of every source: its gradient and curvature over its cells
@@ -92,8 +91,8 @@ def tilts(cells: DataFrame, sources: DataFrame) -> DataFrame:
         over = F.col("got") * F.col("mean") - F.col("target")
         low, high = F.when(over < 0, F.col("tilt")).otherwise(F.col("low")), F.when(over > 0, F.col("tilt")).otherwise(F.col("high"))
         newton = F.col("tilt") - over / F.col("mean") / F.greatest(F.col("slope"), F.lit(1e-300))
-        moved = F.when((newton > low) & (newton < high), newton).otherwise((low + high) / 2)
-        near = F.abs(over) <= F.lit(NEAR) * F.col("target")
+        moved = F.when((newton > low) & (newton < high) & F.lit(rounds <= ROUNDS), newton).otherwise((low + high) / 2)
+        near = (F.abs(over) <= F.lit(NEAR) * F.col("target")) | (high - low <= F.lit(1e-12) * (1 + F.abs("tilt")))
         state = written(
             state.join(step, "sid", "left").select(
                 "sid", "source_size", "target", "mean",
@@ -169,18 +168,27 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     """documents, each row as often as mix_sources() takes it; columns as they are.
 
-    Rows that share a doc_id, or have none, share their copies out: all get the whole part, and the first
-    of them one more.
+    Rows that share a doc_id, or have none, share their copies out: all get the whole part, and some
+    of them one more. Rows in slices of a hot doc_id are counted before they are ranked.
     """
-    copies = mix_sources(documents, **options).groupBy("doc_id").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    copies = written(copies, "mix-copies").withColumnRenamed("doc_id", "__id")
+    columns = documents.columns
+    key, copies, rows, part, place, each = unused(documents, "key", "copies", "rows", "part", "place", "each")
+    planned = mix_sources(documents, **options).groupBy("doc_id").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
+    planned = written(planned.withColumnRenamed("doc_id", key), "mix-copies")
     # always a merge join: copies grow with the corpus
-    rows = documents.join(copies.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    each = F.col("__copies")
-    if not copies.where("__rows > 1").isEmpty():
-        rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns)))
-        each = F.expr("__copies div __rows") + (rank <= F.col("__copies") % F.col("__rows")).cast("long")
-    return rows.withColumn("__each", each).where("__each > 0").withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__each")))).select(*documents.columns)
+    joined = documents.join(planned.hint("merge"), F.col("doc_id").eqNullSafe(F.col(key)))
+    if planned.where(F.col(rows) > 1).isEmpty():
+        joined = joined.withColumn(each, F.col(copies))
+    else:
+        joined = written(joined.withColumn(part, F.spark_partition_id()), "mix-rows")
+        shared = joined.groupBy(key, part).agg(F.count(F.lit(1)).alias(place))
+        earlier = F.coalesce(F.sum(place).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        first = shared.where(F.col(place) > 0).select(F.col(key).alias("k"), F.col(part).alias("p"), earlier.alias("first"))
+        own = F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0)))
+        joined = joined.withColumn(place, own).join(first.hint("merge"), F.col(key).eqNullSafe(F.col("k")) & (F.col(part) == F.col("p")))
+        more = F.col("first") + F.col(place) <= F.col(copies) % F.col(rows)
+        joined = joined.withColumn(each, F.expr(f"`{copies}` div `{rows}`") + more.cast("long"))
+    return joined.where(F.col(each) > 0).select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(each))).alias(place)).drop(place)
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
