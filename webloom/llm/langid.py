@@ -192,7 +192,7 @@ def train(documents: DataFrame, sample_each: int = SAMPLE_EACH, sample: int = SA
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """documents with lang_pred, lang_score, lang_ambiguous and lang_fits for each text.
+    """documents with lang_pred, lang_score, lang_ambiguous and lang_fits for each text; columns of these names are replaced.
 
     lang_fits is false where the text is too unlike lang_pred's own documents, so that it is in no language of
     the model. Null text or no letter: NONE, 0, true, false; so too for all texts if the model knows no language.
@@ -200,6 +200,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     from pyspark.sql import types as T
 
     shared = documents.sparkSession.sparkContext.broadcast(model)
+    documents = documents.drop("lang_pred", "lang_score", "lang_ambiguous", "lang_fits")
     schema = T.StructType([*documents.schema.fields, *T.StructType.fromDDL("lang_pred string, lang_score double, lang_ambiguous boolean, lang_fits boolean").fields])
     at_text = documents.columns.index("text")
 
