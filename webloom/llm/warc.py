@@ -173,9 +173,9 @@ def normalise_file(fs, source: str, target: str, level: int = 4) -> list[dict]:
             index.append({"offset": at, "length": end - at, "type": got["warc-type"], "uri": got.get("warc-target-uri"), "digest": got.get("warc-payload-digest"), "record_id": got.get("warc-record-id")})
             at = end
     fs.move(draft, target)
-    with fs.open_output_stream(f"{target}.idx.draft", compression=None) as out:
+    with fs.open_output_stream(f"{draft}.idx", compression=None) as out:
         out.write("".join(json.dumps(x) + "\n" for x in index).encode())
-    fs.move(f"{target}.idx.draft", f"{target}.idx")
+    fs.move(f"{draft}.idx", f"{target}.idx")
     return index
 
 
@@ -244,7 +244,8 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html: an empty payload. Null url: urn:page:<page_id>. Repeated rows are records each. An empty
     table makes no archive. The whole-stream archives stay in <folder>/whole, the others in
-    <folder>/records.
+    <folder>/records. Writing into a folder again replaces archives of the same names; those of an earlier,
+    larger table stay there, but only the archives just written are read back.
     """
     folder = folder or shared_dir(pages.sparkSession, "warc")
     whole = write_archives(with_record_types(pages), f"{folder}/whole")
