@@ -16,7 +16,9 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -105,6 +107,7 @@ class Reader:
             raise ValueError(f"{path} is no complete token file")
         length = int.from_bytes(tail[:8], "little")
         self.segments = json.loads(self._read(size - 16 - length, length))
+        *self.firsts, self.n_ids = accumulate((s["ids"] for s in self.segments), initial=0)
 
     def _read(self, at: int, n: int) -> bytes:
         return self.file.read_at(n, at) if n else b""
@@ -141,6 +144,30 @@ class Reader:
     def token(self, segment: int, at: int) -> int:
         return int(self.ids(segment, at, 1)[0])
 
+    def __getitem__(self, at: int) -> int:
+        """The at-th id of the file: the segment by bisection of their sizes, then a few bytes."""
+        if not 0 <= at < self.n_ids:
+            raise IndexError(at)
+        segment = bisect_right(self.firsts, at) - 1
+        return self.token(segment, at - self.firsts[segment])
+
+
+class Corpus:
+    """Random access to all ids of the files that write_token_files() listed; [(path, base, ids)] is a row a file."""
+
+    def __init__(self, files: list[tuple[str, int, int]]):
+        self.files = sorted(files, key=lambda f: f[1])
+        self.bases = [f[1] for f in self.files]
+        self.open: dict[int, Reader] = {}
+
+    def __getitem__(self, at: int) -> int:
+        i = bisect_right(self.bases, at) - 1
+        if i < 0 or at >= self.bases[i] + self.files[i][2]:
+            raise IndexError(at)
+        if i not in self.open:
+            self.open[i] = Reader(*filesystem(self.files[i][0]))
+        return self.open[i][at - self.bases[i]]
+
 
 def write_token_files(documents: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the ids of documents(doc_id, text), end_id after each, and return a row per file.
