@@ -102,9 +102,40 @@ def test_rates_solve_the_dual(spark):
     assert docs.count() == 7
 
 
+def test_counts_of_sizes(spark):
+    """Copies per source and size against a plain computation: bisection for the tilt, rounding from the largest size down."""
+    rnd = random.Random(15)
+    docs = [(i, "w " * rnd.choice([1, 2, 3, 10, 50, 51, 400]), rnd.choice("abcd")) for i in range(1200)]
+    got = Counter()
+    for r in mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect():
+        got[r["source_size"], r["size"]] += r["copies"]
+    sizes = defaultdict(list)
+    for _, t, s in docs:
+        sizes[s].append(len(t) // 2)
+    targets = wanted_targets({s: sum(x) for s, x in sizes.items()})
+    wanted = Counter()
+    for s, every in sizes.items():
+        total, mean = sum(every), sum(every) / len(every)
+        cells = Counter(every)
+        low, high = -1e3, 1e3
+        for _ in range(200):
+            mid = (low + high) / 2
+            took = sum(n * 2 / (1 + np.exp(-mid * x / mean)) * x for x, n in cells.items())
+            low, high = (mid, high) if took < targets[s] else (low, mid)
+        owed = 0.0
+        for x in sorted(cells, reverse=True):
+            rate = 2.0 if targets[s] >= 2 * total * (1 - 1e-7) else 2 / (1 + np.exp(-mid * x / mean))
+            copies = min(max(round(cells[x] * rate + owed / x), 0), 2 * cells[x])
+            owed += (cells[x] * rate - copies) * x
+            wanted[total, x] += copies
+    assert got == wanted
+
+
 def test_mixed_documents(docs, none):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns and mixing.mixed_documents(none).count() == 0
+    clashing = docs.withColumn("copies", F.lit(7)).withColumn("rows", F.lit(8)).withColumn("place", F.lit(9)).withColumn("__id", F.lit(1)).withColumn("__n", F.lit(2))
+    assert {tuple(r) for r in mixing.mixed_documents(clashing).select("copies", "rows", "place", "__id", "__n").collect()} == {(7, 8, 9, 1, 2)}
     per = Counter(r["doc_id"] for r in out.select("doc_id").collect())
     assert max(v for k, v in per.items() if k not in (None, 5)) <= 2
 
@@ -376,6 +407,14 @@ def test_token_files(docs, rows, none, tmp_path):
     every = reader.ids(0, 0, reader.segments[0]["ids"])
     for i in random.Random(1).sample(range(len(every)), 200):
         assert reader.token(0, i) == every[i]
+    corpus = tokenfiles.Corpus([(r["path"], r["base"], r["ids"]) for r in files.collect()])
+    flat = np.concatenate([ids[i] for i in order if rows[i][0] not in (None, 5)])  # rows of one key may come in either order
+    of = np.concatenate([np.full(r["n_tokens"], r["doc_id"] not in (None, 5)) for r in got])
+    at = np.flatnonzero(of)
+    for i in random.Random(2).sample(range(len(at)), 200):
+        assert corpus[int(at[i])] == flat[i]
+    with pytest.raises(IndexError):
+        corpus[len(of)]
     assert tokenfiles.read_token_files(tokenfiles.write_token_files(none, path)).count() == 0
 
 
@@ -523,10 +562,49 @@ def test_p_random(spark):
     assert sum(x > 0.02 for x in p[:100]) >= 90 and max(p[100:]) < 0.02
 
 
+def test_planted_keys_in_prose(spark):
+    """Precision and recall of random spans: keys planted in prose with identifiers, paths, numbers and long words."""
+    rnd = random.Random(13)
+    forms = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    rows, planted = [], {}
+    for i in range(900):
+        words = prose(rnd, 60).split(" ")
+        decoy = "-".join(rnd.choice(WORDS) for _ in range(7)) + f"-{rnd.randint(1, 99)}"
+        camel = "".join(rnd.choice(WORDS).title() for _ in range(6)) + str(rnd.randint(1, 9))
+        path = "/" + "/".join(rnd.choice(WORDS) for _ in range(7)) + "/2024"
+        words[10:10] = [rnd.choice([decoy, camel, path]), rnd.choice([decoy, camel, path, "plain"])]
+        if i % 3 == 0:
+            key = "".join(rnd.choice(forms[i // 3 % 3]) for _ in range(rnd.choice([32, 40, 64])))
+            words.insert(30, key)
+            at = len(" ".join(words[:30])) + 1
+            planted[i] = f"random:{at}:{at + len(key)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: [x for x in r["spans"].split(",") if x.startswith("random")] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(planted.get(i) in spans for i, spans in got.items())
+    reported = sum(map(len, got.values()))
+    assert right >= 0.85 * len(planted) and right >= (1 - 2 * secrets.FDR) * reported, (right, len(planted), reported)
+
+
+def test_reports_are_limited(spark):
+    """Many text-like strings of middling p-values raise the limit; random ones alone don't."""
+    rnd = random.Random(14)
+    even = [(0, 40, 5, rnd.random()) for _ in range(300)]
+    low = [(0, 40, 5, rnd.uniform(0.03, 0.2)) for _ in range(2000)]
+    kinds = "start long, stop long, octave int, p double"
+    assert secrets.report_from(spark.createDataFrame(even, kinds))[5] <= 2
+    assert 8 <= secrets.report_from(spark.createDataFrame(even + low, kinds))[5] <= 25
+
+
+def test_many_secrets_in_a_long_text(spark):
+    text = "x token=abcdef1 " * 20_000
+    r = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert r["n_assign"] == 20_000 and r["spans"].endswith(f":{len(text) - 1}")
+
+
 def test_mask(spark):
-    df = spark.createDataFrame([(*r, 1) for r in SECRETS], "doc_id long, text string, n_chars long")
+    df = spark.createDataFrame([(*r, 1, "a", 5, "b") for r in SECRETS], "doc_id long, text string, n_chars long, find string, find_ int, __text string")
     out = secrets.mask_secrets(df)
-    assert out.columns == df.columns
+    assert out.columns == df.columns and {tuple(r) for r in out.select("find", "find_", "__text").collect()} == {("a", 5, "b")}
     texts = [r["text"] for r in out.collect()]
     assert texts[2] is None and texts[3] == "" and texts[9] == "clean" and texts[8] == secrets.MASK
     assert texts[6] == secrets.MASK and all("hunter2" not in (t or "") for t in texts)
@@ -548,7 +626,9 @@ def test_language(spark):
     rows = [(i, " ".join("".join(rnd.choice(alphabets[lang]) for _ in range(3)) for _ in range(30)), lang, "s") for i in range(240) for lang in [list(alphabets)[i % 3]]]
     rows += [(300, None, "aa", "s"), (301, "123 !!", "bb", "s"), (None, rows[0][1], None, "s"), (302, "", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("lang_pred", F.lit("clash"))
-    got = {r["doc_id"]: r for r in langid.predict_languages(df.drop("lang_pred")).collect()}
+    again = langid.identify(df, langid.train(df))
+    assert again.columns.count("lang_pred") == 1 and again.where("lang_pred = 'clash'").isEmpty()
+    got = {r["doc_id"]: r for r in langid.predict_languages(df).collect()}
     for key, _, lang, _ in rows[:240]:
         assert got[key]["held_out"] == (zlib.crc32(str(key).encode()) % 4 == 2) and got[key]["lang_pred"] == lang and 0 <= got[key]["score"] <= 1
     assert [got[k]["lang_pred"] for k in (300, 301, 302)] == ["und"] * 3 and got[None]["lang_pred"] == "aa" and not got[None]["held_out"]
@@ -557,6 +637,13 @@ def test_language(spark):
     assert langid.predict_languages(df.limit(0)).count() == 0
 
 
+def test_held_out_accuracy(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.predict_languages(rows).where("held_out").join(rows.where("lang is not null").select("doc_id", "lang"), "doc_id")
+    right, every = got.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("long")), F.count(F.lit(1))).first()
+    assert every > 200 and right >= 0.97 * every
+
+
 def test_every_language_is_learned(spark):
     names = [a + b for a in "bcdfghjklmnpqrs" for b in "aeiouabcdefghijklm"[:14]]
     df = spark.createDataFrame([(10 * i + j, f"{n}{n} x{n} {n}y " * 3, n) for i, n in enumerate(sorted(set(names))) for j in range(10)], "doc_id long, text string, lang string")
