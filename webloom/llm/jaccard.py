@@ -6,13 +6,13 @@
    then on, so copies cost one row each.
 2. Classes that agree in the shortest prefix that a descent may end at are brought together: they are a subtrie. That
    length is the longest at which pairs at the threshold meet in some tree with the wanted recall,
-   1 - (1 - t^d)^trees. Subtries with the same members in several trees are kept once.
-3. A subtrie's members get their whole shingle sets and are sorted by label. Descent begins at whole labels: runs
-   that agree in a prefix are verified exactly, then the prefix is shortened by one and what meets newly is
+   1 - (1 - t^d)^trees. Subtries with the same members in several trees are brought together once, and descended in together.
+3. A subtrie's members get their whole shingle sets. Descent begins at whole labels: runs that agree in a prefix in one of
+   its trees are verified exactly, then prefixes are shortened by one in all these trees and what meets newly is
    verified, until the recall that the found pairs' similarities show is enough (each pair of similarity s was met with
    probability 1 - (1 - s^d)^trees, so it stands for the inverse of that many), or the shortest prefix is reached. Where
-   fewer than EVIDENCE pairs were found nothing is concluded from them. A pair counts where it meets first: in the tree
-   of its longest common prefix, of several the first.
+   fewer than EVIDENCE pairs were found nothing is concluded from them; the members of small subtries are verified at
+   once. A pair counts in the tree of its longest common prefix, of several the first.
 4. A subtrie of more than BLOCK members is dealt out as pairs of blocks, so a task holds two blocks. What leaves it grows
    with its members, not with its pairs: each member's number of links and a spanning forest of them.
 5. Linked classes are joined into groups by alternating star contraction.
@@ -35,9 +35,9 @@ THRESHOLD = 0.8
 TREES = 24
 #: Levels of a trie; a byte each, so a label is a 64-bit number.
 DEPTH = 8
-RECALL = 0.999
+RECALL = 0.99999
 #: Measured recall at which a descent ends above the shortest prefix, and the least number of found pairs that measure it.
-MEASURED, EVIDENCE = 0.9999, 500
+MEASURED, EVIDENCE = 0.99999, 500
 BLOCK = 512
 _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -130,10 +130,11 @@ def _members(classes: DataFrame, floor: int) -> DataFrame:
 
 
 def _nodes(members: DataFrame) -> DataFrame:
-    """(tree, prefix, node): of subtries with the same classes in several trees, the one of the first tree."""
+    """(tree, prefix, node, trees): of subtries with the same classes in several trees, that of the first; trees has a bit for each."""
     h = [F.bit_xor(F.xxhash64("key", F.lit(i))).alias(f"x{i}") for i in (1, 2)]
     nodes = members.groupBy("tree", "prefix", "members").agg(*h)
-    return nodes.groupBy("x1", "x2", "members").agg(F.min(F.struct("tree", "prefix")).alias("first")).select("first.tree", "first.prefix", F.xxhash64("first.tree", "first.prefix").alias("node"))
+    same = nodes.groupBy("x1", "x2", "members").agg(F.min(F.struct("tree", "prefix")).alias("first"), F.bit_or(F.expr("shiftleft(1L, tree)")).alias("trees"))
+    return same.select("first.tree", "first.prefix", F.xxhash64("first.tree", "first.prefix").alias("node"), "trees")
 
 
 def _verified(rows: DataFrame, threshold: float, floor: int, measured: float, evidence: int) -> DataFrame:
@@ -143,7 +144,7 @@ def _verified(rows: DataFrame, threshold: float, floor: int, measured: float, ev
         held: list[tuple] = []
         place = None
         for batch in batches:
-            columns = [batch.column(c) for c in ("node", "i", "j", "tree", "block", "key", "labels", "docs", "shingles")]
+            columns = [batch.column(c) for c in ("node", "i", "j", "trees", "block", "key", "labels", "docs", "shingles")]
             for at in range(batch.num_rows):
                 row = tuple(c[at] for c in columns)
                 here = (row[0].as_py(), row[1].as_py(), row[2].as_py())
@@ -165,47 +166,54 @@ def measured_recall(similarities: np.ndarray, depth: int, trees: int) -> float:
     return float(len(similarities) / (1 / (1 - (1 - similarities**depth) ** trees)).sum())
 
 
-def _descended(signed: np.ndarray, sets: list[np.ndarray], tree: int, apart: np.ndarray | None, threshold: float, floor: int, measured: float, evidence: int) -> np.ndarray:
-    """Which members of a subtrie of this tree are linked, by pairs that meet here first; prefixes shorten one by one.
+def _first_met(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of rows of labels, the tree of their longest common prefix, of several the first."""
+    differ = (x ^ y)[:, :, None] >> (np.arange(DEPTH - 1, -1, -1).astype(np.uint64) * np.uint64(8))
+    return np.argmax((differ == 0).sum(axis=2), axis=1)
 
-    Members are in the order of their labels in the tree. apart: pairs that are in other blocks than this one's.
+
+def _descended(signed: np.ndarray, sets: list[np.ndarray], trees: list[int], apart: np.ndarray | None, threshold: float, floor: int, measured: float, evidence: int) -> np.ndarray:
+    """Which members of these trees' common subtrie are linked, by pairs whose longest common prefix is in one of the trees.
+
+    apart: pairs that are in different blocks, if these alone count here.
     """
-    n, trees = signed.shape
+    n, every = signed.shape
     sizes = np.fromiter(map(len, sets), np.int64, n)
     linked = np.zeros((n, n), bool)
+    known = np.eye(n, dtype=bool) if apart is None else ~apart
     found = np.zeros(0)
-    whole = _common(sets) if n <= 64 else None
-    inner = np.full(n, -1)  # the run that a member was in a level before
-    inner_size = np.ones(n, np.int64)
+
+    def verify(rows: np.ndarray) -> None:
+        nonlocal found
+        open_ = np.triu(~known[np.ix_(rows, rows)], 1)
+        a, b = np.nonzero(open_)
+        if not len(a):
+            return
+        if len(a) <= 2 * len(rows):
+            both = np.array([len(np.intersect1d(sets[rows[i]], sets[rows[j]], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
+        else:
+            both = _common([sets[i] for i in rows.tolist()])[a, b]
+        a, b = rows[a], rows[b]
+        known[a, b] = known[b, a] = True
+        either = sizes[a] + sizes[b] - both
+        close = both >= threshold * either - 1e-9
+        a, b, share = a[close], b[close], both[close] / either[close]
+        if len(a):
+            own = np.isin(_first_met(signed[a], signed[b]), trees)
+            linked[a[own], b[own]] = linked[b[own], a[own]] = True
+            found = np.concatenate([found, share[own]])
+
+    if n <= 64:
+        verify(np.arange(n))
+        return linked
+    orders = {t: np.argsort(signed[:, t], kind="stable") for t in trees}
     for depth in range(DEPTH, floor - 1, -1):
-        cut = np.uint64(8 * (DEPTH - depth))
-        prefix = signed >> cut
-        ends = np.flatnonzero(np.concatenate([prefix[1:, tree] != prefix[:-1, tree], [True]])) + 1
-        first = 0
-        for run, end in enumerate(ends.tolist()):
-            at, size = slice(first, end), end - first
-            if size > 1 and inner_size[first] < size:
-                common = whole[at, at] if whole is not None else _common(sets[at])
-                close = common >= threshold * (sizes[at, None] + sizes[None, at] - common) - 1e-9
-                if depth < DEPTH:
-                    close &= inner[at, None] != inner[None, at]
-                if apart is not None:
-                    close &= apart[at, at]
-                a, b = np.nonzero(np.triu(close, 1))
-                if len(a):
-                    # pairs that a longer prefix, or an equally long one of an earlier tree, brings together count there
-                    x, y = signed[first + a], signed[first + b]
-                    seen = (x[:, :tree] >> cut == y[:, :tree] >> cut).any(axis=1)
-                    if depth < DEPTH:
-                        up = np.uint64(8 * (DEPTH - depth - 1))
-                        seen |= (x >> up == y >> up).any(axis=1)
-                    a, b = a[~seen], b[~seen]
-                    linked[first + a, first + b] = linked[first + b, first + a] = True
-                    both = common[a, b]
-                    found = np.concatenate([found, both / (sizes[first + a] + sizes[first + b] - both)])
-            inner[at], inner_size[at] = run, size
-            first = end
-        if len(found) >= evidence and measured_recall(found, depth, trees) >= measured:
+        for t, order in orders.items():
+            prefix = signed[order, t] >> np.uint64(8 * (DEPTH - depth))
+            for rows in np.split(order, np.flatnonzero(prefix[1:] != prefix[:-1]) + 1):
+                if len(rows) > 1:
+                    verify(np.sort(rows))
+        if len(found) >= evidence and measured_recall(found, depth, every) >= measured:
             break
     return linked
 
@@ -213,13 +221,12 @@ def _descended(signed: np.ndarray, sets: list[np.ndarray], tree: int, apart: np.
 def _links(held: list[tuple], place: tuple, threshold: float, floor: int, measured: float, evidence: int):
     import pyarrow as pa
 
-    tree = held[0][0]
-    held = sorted(held, key=lambda x: (int(np.uint64(x[3][tree].view(np.uint64))), x[2]))
     keys = [x[2] for x in held]
     signed = np.stack([x[3] for x in held]).view(np.uint64)
     block = np.array([x[1] for x in held])
     apart = block[:, None] != block[None, :] if place[1] != place[2] else None
-    linked = _descended(signed, [x[5] for x in held], tree, apart, threshold, floor, measured, evidence)
+    trees = [t for t in range(signed.shape[1]) if held[0][0] >> t & 1]
+    linked = _descended(signed, [x[5] for x in held], trees, apart, threshold, floor, measured, evidence)
     seen = np.zeros(len(keys), bool)
     other = np.full(len(keys), -1)
     for root in range(len(keys)):
@@ -307,7 +314,7 @@ def join_documents(documents: DataFrame, threshold: float = THRESHOLD, trees: in
     met = met.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks")).cast("int"))
     # a member of block b is in the pairs (b, b), (b, j) and (i, b)
     pairs = F.expr("transform(sequence(0, blocks - 1), x -> struct(least(x, block) as i, greatest(x, block) as j))")
-    met = written(met.select("key", "node", "tree", "block", F.explode(pairs).alias("p")).select("key", "node", "tree", "block", "p.i", "p.j"), "met")
+    met = written(met.select("key", "node", "trees", "block", F.explode(pairs).alias("p")).select("key", "node", "trees", "block", "p.i", "p.j"), "met")
     wanted = met.select("key").distinct()
     signs = classes.join(wanted, "key", "left_semi").select("key", "labels", "docs")
     sets = written(_shingle_sets(documents, signed, wanted, width).join(signs, "key"), "sets")
