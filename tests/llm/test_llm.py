@@ -695,3 +695,74 @@ def test_pipeline(spark, docs, none):
     for _, stage in P.STAGES:
         assert stage(spark, none, "").count() == 0
     assert isinstance(kinds, T.StructType)
+
+
+def plain_copies(spark, docs):
+    """doc_id -> copies of the mix of {doc_id: (text, source)}, by bisection, rounding and ranking."""
+    order = {r[0]: r[1] for r in spark.createDataFrame([(i,) for i in docs], "i long").select("i", F.xxhash64("i", F.lit(2))).collect()}
+    by_source = defaultdict(lambda: defaultdict(list))
+    for i, (text, source) in docs.items():
+        by_source[source][n_words(text)].append(i)
+    sizes = {s: sum(x * len(i) for x, i in cells.items()) for s, cells in by_source.items()}
+    targets, out = wanted_targets(sizes), {}
+    for s, cells in by_source.items():
+        mean = sizes[s] / sum(map(len, cells.values()))
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(len(i) * 2 / (1 + np.exp(np.clip(-mid * x / mean, -700, 700))) * x for x, i in cells.items()) < targets[s] else (low, mid)
+        owed = 0.0
+        for x in sorted(cells, reverse=True):
+            n = len(cells[x])
+            rate = 2.0 if targets[s] >= 2 * sizes[s] * (1 - 1e-7) else 2 / (1 + np.exp(np.clip(-mid * x / mean, -700, 700)))
+            copies = min(max(int(n * rate + owed / x + 0.5), 0), 2 * n)
+            owed += (n * rate - copies) * x
+            for rank, i in enumerate(sorted(cells[x], key=lambda i: (order[i], i)), 1):
+                out[i] = copies // n + (rank <= copies % n)
+    return out
+
+
+def test_run_against_a_plain_computation(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = Counter()
+    for r in P.run(spark, str(tmp_path)).where("start = 0").collect():
+        got[r["doc_id"], r["doc_tokens"]] += 1
+    model = langid.train(rows)
+    kept = []
+    for r in rows.orderBy("doc_id").collect():
+        x = langid.features(r["text"])
+        if x is not None:
+            number, score, vague = model.predict(x[None])
+            if score[0] >= P.LEAST_SCORE and not vague[0] and model.fits(x[None], number)[0]:
+                kept.append(r)
+    groups = brute_groups([(r["doc_id"], r["text"]) for r in kept])
+    first = {i for i, c, _ in groups if i == c}
+    random_spans = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(rows).collect()}
+    docs = {}
+    for r in kept:
+        if r["doc_id"] in first:
+            spans = sorted([(a, b) for a, _, b in base_spans(r["text"])] + [tuple(map(int, x.split(":")[1:])) for x in random_spans[r["doc_id"]].split(",") if x.startswith("random")])
+            text, at, out = r["text"], 0, ""
+            for a, b in spans:
+                if b > at:
+                    out += (text[at:a] + secrets.MASK) if a >= at else ""
+                    at = b
+            docs[r["doc_id"]] = (out + text[at:], r["source"])
+    copies = plain_copies(spark, docs)
+    ids = dict(zip(docs, reference_ids("word_bpe_49k.json", [(i, t) for i, (t, _) in docs.items()]), strict=True))
+    wanted = Counter({(i, len(ids[i])): n for i, n in copies.items() if n})
+    assert len(docs) > 80 and got == wanted
+
+
+@pytest.mark.parametrize("stage", [n for n in ("language", "near_duplicates", "secrets", "mix")])
+def test_stages_keep_clashing_columns(spark, docs, stage):
+    import corpus_pipeline as P
+
+    extra = {c: F.lit(f"own {c}") for c in ("lang_pred", "lang_fits", "key_", "find", "copies", "first_id", "k", "p", "first", "__id", "__each", "spans", "root", "class_id")}
+    clashing = docs.withColumns(extra)
+    out = dict(P.STAGES)[stage](spark, clashing, "")
+    assert out.columns == clashing.columns and out.count() > 0
+    assert {tuple(r) for r in out.select(*extra).collect()} == {tuple(f"own {c}" for c in extra)}

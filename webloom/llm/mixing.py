@@ -172,7 +172,7 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     of them one more. Rows in slices of a hot doc_id are counted before they are ranked.
     """
     columns = documents.columns
-    key, copies, rows, part, place, each = unused(documents, "key", "copies", "rows", "part", "place", "each")
+    key, copies, rows, part, place, each, at_key, at_part, first_place = unused(documents, "key", "copies", "rows", "part", "place", "each", "at_key", "at_part", "first")
     planned = mix_sources(documents, **options).groupBy("doc_id").agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows))
     planned = written(planned.withColumnRenamed("doc_id", key), "mix-copies")
     # always a merge join: copies grow with the corpus
@@ -183,10 +183,10 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
         joined = written(joined.withColumn(part, F.spark_partition_id()), "mix-rows")
         shared = joined.groupBy(key, part).agg(F.count(F.lit(1)).alias(place))
         earlier = F.coalesce(F.sum(place).over(Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        first = shared.where(F.col(place) > 0).select(F.col(key).alias("k"), F.col(part).alias("p"), earlier.alias("first"))
+        first = shared.where(F.col(place) > 0).select(F.col(key).alias(at_key), F.col(part).alias(at_part), earlier.alias(first_place))
         own = F.row_number().over(Window.partitionBy(key, part).orderBy(F.lit(0)))
-        joined = joined.withColumn(place, own).join(first.hint("merge"), F.col(key).eqNullSafe(F.col("k")) & (F.col(part) == F.col("p")))
-        more = F.col("first") + F.col(place) <= F.col(copies) % F.col(rows)
+        joined = joined.withColumn(place, own).join(first.hint("merge"), F.col(key).eqNullSafe(F.col(at_key)) & (F.col(part) == F.col(at_part)))
+        more = F.col(first_place) + F.col(place) <= F.col(copies) % F.col(rows)
         joined = joined.withColumn(each, F.expr(f"`{copies}` div `{rows}`") + more.cast("long"))
     return joined.where(F.col(each) > 0).select(*[F.col(f"`{c}`") for c in columns], F.explode(F.sequence(F.lit(1).cast("long"), F.col(each))).alias(place)).drop(place)
 
