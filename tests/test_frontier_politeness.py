@@ -76,7 +76,7 @@ def test_retries_and_errors(spark):
     p = politeness.RetryPolicy()
     df = spark.createDataFrame([("TransientHTTPError", 429, 2, 0, None), ("TransientHTTPError", 500, 1, 1, None), ("PermanentHTTPError", 404, 0, 0, None), ("NetworkError", None, 3, 0, None), ("TransientHTTPError", 503, 0, 0, 60.0), ("ParseError", None, 0, 0, None)], "e string, s int, r int, rr int, ra double")
     why = [r[0] for r in df.select(p.refusal(*map(F.col, ("e", "s", "r", "rr", "ra")))).collect()]
-    assert why == [None, "no retries left for HTTP 500", "permanent error", "no retries left", "Retry-After of 60s is longer than max_delay of 30s", "not a retried error type"]
+    assert why == [None, "no retries left for HTTP 500", "permanent error", "no retries left", "the server wants a wait of 60 s, over the limit of 30 s", "not a retried error type"]
     assert df.select(p.delay(F.col("s"), F.col("e"), F.col("r"), F.col("ra"), F.lit(1.0))).first()[0] == 16.0
     flags = [r[0] for r in df.select(errors.is_failure(F.col("e"), F.col("s"))).collect()]
     assert flags == [None, True, False, True, True, None]

@@ -115,3 +115,40 @@ def test_queries_have_unique_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_a_long_chain(spark):
+    """Eleven levels of one page: positions don't grow with depth."""
+    from webloom.plans import crawl
+
+    rows = [(f"https://chain.example/{i}", f'<a href="/{i + 1}">next</a>') for i in range(14)]
+    plan = crawl.CrawlPlan(max_depth=10, max_pages=100, respect_robots=False)
+    state, _ = crawl.crawl(spark, ["https://chain.example/0"], spark.createDataFrame(rows, "url string, html string"), plan)
+    got = {r["url"]: (r["depth"], r["state"]) for r in state.collect()}
+    assert got == {f"https://chain.example/{i}": (i, "processed") for i in range(11)}
+    assert state.agg({"seq": "max"}).first()[0] < 1000
+
+
+def test_redirects_to_known_pages_and_sitemaps(spark):
+    from webloom.plans import crawl
+
+    html = [("https://r.example/", '<a href="/old">o</a><a href="/new">n</a><a href="/old2">o</a>', 200, None), ("https://r.example/new", "<title>n</title>", 200, None),
+            ("https://r.example/old", None, 301, "/new"), ("https://r.example/old2", None, 301, "/far"), ("https://r.example/far", "<title>f</title>", 200, None), ("https://r.example/extra", "<title>e</title>", 200, None)]
+    answers = spark.createDataFrame(html, "url string, html string, status int, location string")
+    body = b"<urlset><url><loc>https://r.example/extra</loc></url><url><loc>https://r.example/far?utm_source=x</loc></url></urlset>"
+    listed = spark.createDataFrame([("https://r.example/map.xml", body)], "url string, body binary")
+    plan = crawl.CrawlPlan(max_depth=1, respect_robots=False)
+    state, parsed = crawl.crawl(spark, ["https://r.example/"], answers, plan, listed=listed, roots=listed.select("url"))
+    got = {r["url"].rpartition("/")[2]: (r["state"], r["depth"]) for r in state.collect()}
+    assert got[""] == ("processed", 0) and got["extra"] == ("processed", 0) and got["far"] == ("processed", 0)
+    assert got["old"][0] == "skipped" and got["old2"][0] == "skipped" and got["new"] == ("processed", 1)
+    assert parsed.select("url").distinct().count() == 4
+    alone, _ = crawl.crawl(spark, ["https://r.example/old2"], answers, plan)
+    assert {r["url"].rpartition("/")[2]: r["state"] for r in alone.collect()} == {"old2": "processed", "far": "seen"}
+
+
+def test_answers_are_chosen_alike(spark):
+    from webloom.plans import crawl
+
+    df = spark.createDataFrame([("https://e.com/", i, f"<p>{i}") for i in (404, 200, 500)] + [("https://e.com/", None, "x")], "url string, status int, html string")
+    assert {crawl.fetched(df.repartition(n)).first()["status"] for n in (1, 2, 3, 4)} == {200}

@@ -19,7 +19,15 @@ from webloom.operators.politeness import Breaker, RetryPolicy
 from webloom.plans.crawl import CrawlPlan
 
 # Files that aren't pages.
-EXCLUDED_EXTENSIONS = tuple("7z avi bmp css doc docx exe gif gz ico jpeg jpg js mov mp3 mp4 pdf png ppt pptx rar svg tar wav webm webp woff xls xlsx zip".split())
+# Extensions of files that a crawl of pages leaves out by default.
+EXCLUDED_EXTENSIONS = (
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx",
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico",
+    "zip", "gz", "tar", "rar", "7z",
+    "mp3", "mp4", "avi", "mov", "webm",
+    "exe", "dmg", "iso",
+    "css", "js",
+)
 
 
 class ConfigError(ValueError):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
+from webloom.operators.order import numbered, running_count
 
 FRONTIER = (
     "url STRING, host STRING, depth INT, seq BIGINT, state STRING, attempts INT, waits INT, counted BOOLEAN, reason STRING, status INT, elapsed DOUBLE, "
@@ -40,7 +41,7 @@ def candidates(links: DataFrame) -> DataFrame:
     return keyed.groupBy("url").agg(F.min("position").alias("position")).withColumn("host", urls.host(F.col("url")))
 
 
-def admission(pages: DataFrame, room: int | None, host_room: int | None, host_before: Column | None = None, parts: int = 64) -> DataFrame:
+def admission(pages: DataFrame, room: int | None, host_room: int | None, host_before: Column | None = None) -> DataFrame:
     """pages(url, host, position[, host_before]) with fits, chosen and by_host: the bounded insert as one statement.
 
     A page fits if fewer than host_room of its host come before it; those that fit are chosen in order of position while
@@ -54,25 +55,14 @@ def admission(pages: DataFrame, room: int | None, host_room: int | None, host_be
     if room is None:
         df = df.withColumn("chosen", F.col("fits"))
     else:
-        df = running_count(df, "fits", "position", parts).withColumn("chosen", F.col("fits") & (F.col("running") <= room)).drop("running")
+        order = ("position", "url") if "url" in df.columns else ("position",)
+        df = running_count(df, F.col("fits"), *order).withColumn("chosen", F.col("fits") & (F.col("running") <= room)).drop("running")
     if host_room is None:
         return df.withColumn("by_host", F.lit(False))
     taken = F.coalesce(F.sum(F.col("chosen").cast("long")).over(by_host.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return df.withColumn("by_host", ~F.col("chosen") & (F.col("host_before") + taken >= host_room))
 
 
-def running_count(df: DataFrame, flag: str, order: str, parts: int = 64) -> DataFrame:
-    """df with running: rows up to and with this one, by `order`, whose flag holds. Two levels of sums."""
-    bounds = df.agg(F.min(order).alias("low"), F.max(order).alias("high")).first()
-    low, high = bounds["low"] or 0, bounds["high"] or 0
-    step = max(1, (high - low) // parts + 1)
-    cut = df.withColumn("__part", F.floor((F.col(order) - low) / step))
-    sums = cut.groupBy("__part").agg(F.sum(F.col(flag).cast("long")).alias("__n"))
-    offset = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    own = F.sum(F.col(flag).cast("long")).over(Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return cut.withColumn("__own", own).join(offset, "__part").withColumn("running", F.col("__own") + F.col("__before")).drop("__part", "__own", "__before")
-
-
 def add(frontier: DataFrame, links: DataFrame, depth: int, max_pages: int | None = None, max_per_host: int | None = None, factor: int = FACTOR) -> tuple[DataFrame, DataFrame]:
     """(the new rows, the judged candidates) of adding links(url, position) to a frontier; unbounded without max_pages."""
     new = candidates(links).join(frontier.select("url"), "url", "left_anti")
@@ -141,10 +131,9 @@ def admit(pages: DataFrame, max_pages: int, max_per_host: int | None = None, req
             df = df.withColumn("__requested", F.lit(0))
         ranked = F.row_number().over(Window.partitionBy("host").orderBy("depth", "seq")) + F.coalesce("__requested", F.lit(0)) <= max_per_host
     df = df.withColumn("__fits", ranked)
-    # depth and seq in one number: the running count is made of counts per range of it
-    df = running_count(df.withColumn("__place", F.shiftleft(F.col("depth").cast("long"), 44) + F.col("seq")), "__fits", "__place")
+    df = running_count(df, F.col("__fits"), "depth", "seq", "url")
     verdict = F.when(F.col("running") + requested - F.col("__fits").cast("long") >= max_pages, "over_limit").when(~F.col("__fits"), "over_host_limit").otherwise("admitted")
-    return df.withColumn("admission", verdict).drop("__fits", "running", "__place", "__requested")
+    return df.withColumn("admission", verdict).drop("__fits", "running", "__requested")
 
 
 def finish(frontier: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
@@ -166,7 +155,7 @@ def finish(frontier: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
 def put_back(frontier: DataFrame, pages: DataFrame, now: float, delay: float = 0.0, waited: bool = False, uncount: bool = False) -> DataFrame:
     """Requeue pages(url) behind all others, due after a delay."""
     last = frontier.agg(F.max("seq")).first()[0] or 0
-    order = pages.select("url", (F.row_number().over(Window.orderBy("url")) + last).alias("__seq"))
+    order = numbered(pages.select("url").distinct(), "__seq", "url").withColumn("__seq", F.col("__seq") + last + 1)
     back = F.col("__seq").isNotNull()
     return (
         frontier.join(order, "url", "left")

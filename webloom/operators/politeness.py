@@ -6,9 +6,9 @@ events in time order, one group a host.
 
 from __future__ import annotations
 
-import email.utils
 from collections import deque
 from dataclasses import dataclass
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,7 +124,7 @@ class RetryPolicy:
             .when(~kind(error_class).isin("TransientError", "NetworkError"), "not a retried error type")
             .when(retries >= self.max_retries, "no retries left")
             .when(rule_retries >= cap, F.concat(F.lit("no retries left for HTTP "), status.cast("string")))
-            .when(retry_after > self.max_delay, F.concat(F.lit("Retry-After of "), F.format_string("%.0f", retry_after), F.lit(f"s is longer than max_delay of {self.max_delay:g}s")))
+            .when(retry_after > self.max_delay, F.format_string(f"the server wants a wait of %.0f s, over the limit of {self.max_delay:g} s", retry_after))
         )
 
     def delay(self, status: Column, error_class: Column, retries: Column, retry_after: Column, draw: Column) -> Column:
@@ -145,9 +145,11 @@ def retry_after(value: Column, now: Column) -> Column:
     @F.pandas_udf("double")
     def dated(values: pd.Series) -> pd.Series:
         def moment(v: str | None) -> float | None:
+            if v is None:
+                return None
             try:
-                at = email.utils.parsedate_to_datetime(v.strip())
-            except (TypeError, ValueError, AttributeError):
+                at = parsedate_to_datetime(v.strip())
+            except ValueError:
                 return None
             return at.timestamp() if at.tzinfo else pd.Timestamp(at, tz="UTC").timestamp()
 

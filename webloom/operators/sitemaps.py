@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls
 from webloom.functions.udfs import arrow_udf
 from webloom.functions.urls import normalize_url
+from webloom.operators.order import checkpointed
 
 MAX_BYTES = 50 * 1024 * 1024
 MAX_FILES = 500
@@ -72,7 +73,7 @@ def _first(df: DataFrame, key: str, order: list) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def expand(files: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS, max_files: int = MAX_FILES, max_levels: int = 10) -> DataFrame:
+def expand(files: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS, max_files: int = MAX_FILES) -> DataFrame:
     """(root, url, pos): the pages that each of roots(url) lists, in order of listing, each once, max_urls at most.
 
     Index files are followed breadth first to files of their own host, a file once a root and max_files of
@@ -82,7 +83,7 @@ def expand(files: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS, max_fil
     level = roots.select(urls.normalized(F.col("url")).alias("root")).where("root is not null").distinct().select("root", F.col("root").alias("file"), F.array(F.lit(0)).alias("path"))
     known = level
     pages = None
-    for _ in range(max_levels):
+    while True:
         met = level.join(parsed, level.file == parsed.url).drop("url")
         listed = met.where("error is null").select("root", "file", "path", "is_index", F.posexplode("locations").alias("pos", "location"))
         found = listed.where("not is_index").select("root", F.col("location").alias("url"), F.concat("path", F.array("pos")).alias("path"))
@@ -92,7 +93,8 @@ def expand(files: DataFrame, roots: DataFrame, max_urls: int = MAX_URLS, max_fil
         deeper = _first(deeper.withColumn("__key", F.concat_ws(" ", "root", "file")), "__key", ["path"]).drop("__key").join(known.select("root", "file"), ["root", "file"], "left_anti")
         counts = known.groupBy("root").agg(F.count(F.lit(1)).alias("__known"))
         rank = F.row_number().over(Window.partitionBy("root").orderBy("path"))
-        level = deeper.join(counts, "root").withColumn("__n", rank).where(F.col("__n") + F.col("__known") <= max_files).select("root", "file", "path").cache()
+        level = deeper.join(counts, "root").withColumn("__n", rank).where(F.col("__n") + F.col("__known") <= max_files).select("root", "file", "path")
+        level = checkpointed(level)
         if level.isEmpty():
             break
         known = known.unionByName(level)

@@ -7,16 +7,16 @@ level leaves is checkpointed, so lineage doesn't grow with depth.
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import urls
-from webloom.operators import frontier, pages, robots
+from webloom.operators import frontier, pages, robots, sitemaps
 from webloom.operators.errors import http_error_class
 from webloom.operators.filters import UrlFilter, is_html_content_type
+from webloom.operators.order import checkpointed, numbered
 
 FETCHED = "url STRING, status INT, content_type STRING, html STRING, location STRING, robots_tag ARRAY<STRING>, error_class STRING, elapsed DOUBLE"
 MAX_REDIRECTS = 10
@@ -43,15 +43,8 @@ def fetched(df: DataFrame) -> DataFrame:
         c = F.col(name) if name in df.columns else defaults.get(name, F.lit(None))
         columns.append(c.cast(kind).alias(name))
     shaped = df.select(*columns).withColumn("url", urls.normalized(F.col("url"))).where("url is not null")
-    return shaped.groupBy("url").agg(F.first(F.struct(*shaped.columns)).alias("r")).select("r.*")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage, in the folder of spark.checkpoint.dir (one of its own only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-"))
-    return df.checkpoint()
+    # of several answers to a URL, one with a status before others, then the least by its fields: the same on every run
+    return shaped.groupBy("url").agg(F.min_by(F.struct(*shaped.columns), F.struct(F.col("status").isNull(), *shaped.columns)).alias("r")).select("r.*")
 
 
 def follow_redirects(wanted: DataFrame, answers: DataFrame, hops: int = MAX_REDIRECTS) -> DataFrame:
@@ -87,6 +80,7 @@ def outcome(allowed: Column, in_scope: Column) -> tuple[Column, Column, Column]:
         (F.col("error_class").isNotNull(), "failed", F.col("error_class"), F.col("error_class")),
         (http.isNotNull(), "failed", F.concat(F.lit("HTTP "), F.col("status").cast("string")), http),
         (~in_scope, "skipped", F.concat(F.lit("redirected out of scope: "), F.col("final_url")), F.lit(None).cast("string")),
+        (F.col("met_before"), "skipped", F.concat(F.lit("leads to a page of the crawl: "), F.col("final_url")), F.lit(None).cast("string")),
         (~is_html_content_type(F.col("content_type")), "skipped", F.concat(F.lit("not HTML: "), F.col("content_type")), F.lit(None).cast("string")),
         (F.col("page.problem").isNotNull(), "failed", F.col("page.problem"), F.lit("ParseError")),
         (F.col("duplicate_of").isNotNull(), "skipped", F.concat(F.lit("duplicate of "), F.col("duplicate_of")), F.lit(None).cast("string")),
@@ -98,8 +92,13 @@ def outcome(allowed: Column, in_scope: Column) -> tuple[Column, Column, Column]:
     return state, reason, error
 
 
-def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan: CrawlPlan = CrawlPlan(), rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(frontier, parsed pages) of a crawl from start_urls over answers (see fetched()); rules as robots.read_rules() makes them."""
+def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan: CrawlPlan = CrawlPlan(), rules: DataFrame | None = None, listed: DataFrame | None = None, roots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(frontier, parsed pages) of a crawl from start_urls over answers (see fetched()); rules as robots.read_rules() makes them.
+
+    listed(url, body) are downloaded sitemaps and roots(url) those to begin with: the pages that they list, in order and as far as
+    the filters allow, are queued behind the start URLs at depth 0. A page is crawled under one URL: a redirect to
+    a page that the crawl knows, or that another page has led to, is not followed up.
+    """
     answers = fetched(answers)
     filters = plan.filters
     if plan.same_domain_only:
@@ -107,6 +106,11 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
     seeds = spark.createDataFrame([(u, i) for i, u in enumerate(start_urls)], "url string, position long")
     rows = frontier.candidates(seeds).withColumn("depth", F.lit(0)).withColumn("seq", F.col("position"))
     state = checkpointed(frontier.new_rows(rows))
+    if listed is not None and roots is not None:
+        found = sitemaps.expand(listed, roots)
+        allowed = numbered(filters.apply(found, "url"), "position", "root", "pos").select("url", "position")
+        more, _ = frontier.add(state, allowed, 0, plan.max_pages, plan.max_per_host)
+        state = checkpointed(state.unionByName(more))
     parsed_all = None
     for depth in range(plan.max_depth + 1):
         level = state.where(F.col("depth") == depth)
@@ -122,6 +126,10 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
             got = got.withColumn("allowed", F.lit(True))
         scope = filters.apply(got.select("final_url").distinct(), "final_url").withColumn("__in", F.lit(True))
         got = got.join(scope, "final_url", "left").withColumn("in_scope", F.coalesce("__in", F.lit(False)) | (F.lit(depth) == 0)).drop("__in")
+        moved = got.where("final_url != url").select(urls.queue_form(F.col("final_url")).alias("to"), "url").where("to != url")
+        seen, may = frontier.mark_seen(state, moved.select(F.col("to").alias("url"), F.col("url").alias("source")))
+        barred = may.where("not may_follow").select(F.col("source").alias("url"), F.lit(True).alias("met_before"))
+        got = got.join(barred, "url", "left").withColumn("met_before", F.coalesce("met_before", F.lit(False)))
         got = got.withColumn("page", pages.parsed(F.when(F.col("allowed"), F.col("html")), F.col("url"), F.col("final_url"), skip_nofollow=plan.skip_nofollow))
         got = checkpointed(got)
         known = state.where(F.col("state").isin("queued", "leased", "processed")).select("url")
@@ -134,6 +142,9 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
         results = got.select("url", "outcome", "reason", "status", "elapsed", "error", (~F.col("outcome").isin("blocked", "unreachable")).alias("counts"))
         state = frontier.finish(state, results, float(depth + 1))
         state = state.join(results.where("counts").select("url", F.lit(True).alias("__c")), "url", "left").withColumn("counted", F.col("counted") | F.coalesce("__c", F.lit(False))).drop("__c")
+        # what a page that failed has led to may be queued by others
+        kept = seen.join(got.where("outcome != 'failed'").select(F.col("url").alias("seen_from")), "seen_from", "left_semi")
+        state = state.unionByName(kept.select(*state.columns))
         over = judged.where("admission = 'over_host_limit'").select("url", F.lit("skipped").alias("outcome"), F.lit("over max_pages_per_host").alias("reason"))
         state = checkpointed(frontier.finish(state, over, float(depth + 1)))
         found = got.where("outcome = 'processed'")
@@ -141,7 +152,7 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
         if depth < plan.max_depth:
             out = got.where(F.col("outcome").isin("processed") & ~F.col("nofollow")).join(taken.select("url", "seq"), "url").select("seq", F.posexplode("page.links").alias("pos", "link"))
             out = filters.apply(out.withColumnRenamed("link", "url"), "url")
-            place = out.withColumn("position", F.col("seq") * 100_000 + F.col("pos")).select("url", "position")
+            place = numbered(out, "position", "seq", "pos").select("url", "position")
             rows, _ = frontier.add(state, place, depth + 1, plan.max_pages, plan.max_per_host)
             state = checkpointed(state.unionByName(rows))
     return state, parsed_all

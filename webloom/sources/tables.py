@@ -16,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 from webloom.functions import urls
 from webloom.functions.text import escaped_formula, unescaped_formula
+from webloom.operators.order import checkpointed
 from webloom.operators.pages import PAGE_RECORD
 
 RECORD_FIELDS = [f.strip().split(" ")[0] for f in PAGE_RECORD.split(", ")]
@@ -147,24 +148,28 @@ def bounded_buffer(records: DataFrame, batch_size: int, order: str = "seq", batc
     return records.orderBy(order).limit(batch_size * batches)
 
 
-def write_all(records: DataFrame, writers: dict[str, callable]) -> DataFrame:
-    """Write to several sinks from one computation; (url, sink, error) acknowledgements."""
-    spark = records.sparkSession
-    kept = records.persist()
-    acks = []
-    try:
-        for name, write in writers.items():
-            try:
-                write(kept)
-                error = None
-            except Exception as e:  # the other sinks still get their records
-                error = f"{type(e).__name__}: {e}"[:200]
-            acks.append((name, error))
-        listed = spark.createDataFrame(acks, "sink string, error string")
-        urls_ = spark.createDataFrame(kept.select("url").toArrow())
-    finally:
-        kept.unpersist()
-    return urls_.withColumn("__k", F.lit(1)).join(listed.withColumn("__k", F.lit(1)), "__k").drop("__k")
+def write_all(records: DataFrame, writers: dict[str, callable], attempts: int = 3) -> DataFrame:
+    """Write to several sinks from one computation; (url, sink, error) acknowledgements, a row a record and sink.
+
+    A sink that fails is tried again, `attempts` times in all; its records are acknowledged with the last error. The others
+    get theirs all the same. Acknowledgements are made from records, on the executors.
+    """
+    kept = checkpointed(records)
+    acks = {name: _written(kept, write, attempts) for name, write in writers.items()}
+    listed = F.array(*[F.struct(F.lit(name).alias("sink"), F.lit(error).cast("string").alias("error")) for name, error in acks.items()])
+    return kept.select("url", F.inline(listed))
+
+
+def _written(records: DataFrame, write, attempts: int) -> str | None:
+    """The last error; None: written."""
+    error = None
+    for _ in range(attempts):
+        try:
+            write(records)
+            return None
+        except Exception as e:  # whatever a sink raises is its own affair
+            error = f"{type(e).__name__}: {e}"[:200]
+    return error
 
 
 def settled(acks: DataFrame, sinks: int) -> DataFrame:
