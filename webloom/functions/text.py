@@ -35,8 +35,8 @@ def progress_bar(percent: Column, width: int = 20) -> Column:
 
 
 def byte_size(size: Column) -> Column:
-    """512 B, 1.5 KB, 2.0 MB."""
-    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1 << 20, F.format_string("%.1f KB", size / 1024)).otherwise(F.format_string("%.1f MB", size / (1 << 20)))
+    """512 B, 1.5 KB, 2.0 MB; halves round to even."""
+    return F.when(size < 1024, F.format_string("%d B", size.cast("long"))).when(size < 1 << 20, F.format_string("%.1f KB", F.bround(size / 1024, 1))).otherwise(F.format_string("%.1f MB", F.bround(size / (1 << 20), 1)))
 
 
 def shortened(label: Column, longest: int = 48) -> Column:
