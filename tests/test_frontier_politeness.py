@@ -106,3 +106,34 @@ def test_text(spark):
     assert one(text.status_name(F.lit(404))) == "404 Not Found" and one(text.status_name(F.lit(799))) == "799"
     assert one(text.share(F.lit(1), F.lit(0))) == "–"
     assert isinstance(pd.Timestamp(0), pd.Timestamp)
+
+
+def test_folds_go_over_batches(spark):
+    """Keys, also null ones, that reach over several batches, with one state each; counts against a plain loop."""
+    rows = [(h, float(t), (t * 7 + i) % 5 == 0) for i, h in enumerate(("a", "b", None)) for t in range(300)]
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = politeness.debounced_failures(spark.createDataFrame(rows, "host string, t double, ok boolean"), 2.0).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    want = {}
+    for host in ("a", "b", None):
+        counted, last = 0, None
+        for h, t, ok in rows:
+            if h != host:
+                continue
+            if ok:
+                counted, last = 0, None
+            elif last is None or t - last >= 2.0:
+                counted, last = counted + 1, t
+            want[host, t] = counted
+    assert {(r["host"], r["t"]): r["counted"] for r in got} == want
+    assert politeness.debounced_failures(spark.createDataFrame([], "host string, t double, ok boolean"), 2.0).count() == 0
+
+
+def test_busiest_span(spark):
+    times = [0, 1, 3_599_999_999, 3_600_000_000, 3_600_000_001, 3_605_000_000, 7_200_000_000, -1]
+    row = politeness.busiest_span(spark.createDataFrame([(t,) for t in times], "t long"), 5.0).first()
+    counts = [sum(t - 5_000_000 < u <= t for u in times) for t in times]
+    assert (row["most"], row["total"]) == (max(counts), sum(counts))

@@ -5,30 +5,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 _own_folder: str | None = None
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir, so that its plan is cut and lost executors cost retries only.
-
-    Where that is unset and all runs on one machine, a folder of this process takes its place. A table, unlike DataFrame.checkpoint(), computes
-    df once and keeps no constraints of its plan, which in a loop grow beyond what a planner can handle.
-    """
+def scratch(spark: SparkSession) -> str:
+    """A path of its own below spark.checkpoint.dir; where that is unset and all runs on one machine, in a folder of this process."""
     global _own_folder
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         _own_folder = _own_folder or tempfile.mkdtemp(prefix="webloom-")
         base = f"file://{_own_folder}"
-    path = f"{base.rstrip('/')}/webloom/step-{uuid.uuid4().hex[:12]}"
+    return f"{base.rstrip('/')}/webloom/step-{uuid.uuid4().hex[:12]}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df as a Parquet table below spark.checkpoint.dir (see scratch()), so that its plan is cut and lost executors cost retries only.
+
+    A table, unlike DataFrame.checkpoint(), computes df once and keeps no constraints of its plan, which in a loop grow beyond
+    what a planner can handle.
+    """
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_count(df: DataFrame, flag: Column, *order: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """How fast and how often hosts are asked: schedules, slowdowns, retries, circuit breakers, proxies.
 
 What has a closed form is a window; what depends on its own past decisions is a fold over a host's
-events in time order, one group a host.
+events in time order, which come in batches: a task holds one batch and one host's state.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from email.utils import parsedate_to_datetime
 
@@ -22,6 +23,27 @@ MAX_TIMEOUT_GROWTH = 4.0
 SITEMAP_TIMEOUT = 10.0
 
 
+def folded(df: DataFrame, order: list[str], begin: Callable, schema: str) -> DataFrame:
+    """df's rows, of one key (its first column) after the other, each in order, as the key's step() makes them anew.
+
+    begin() gives a key's step; it gets a row's values and returns the new row. However many rows a key has, they aren't held together.
+    """
+    key = df.columns[0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, step = None, None
+        for rows in batches:
+            made = []
+            for row in rows.itertuples(index=False, name=None):
+                if step is None or row[0] != own:
+                    own, step = row[0], begin()
+                made.append(step(*row))
+            yield pd.DataFrame(made, columns=names)
+
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
+    return df.withColumn(key, F.col(key).cast("string")).repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 # Schedules
 
 
@@ -55,6 +77,19 @@ def rate_stats(requests: DataFrame, now: float, started: float, key: str = "host
     )
 
 
+def busiest_span(requests: DataFrame, seconds: float, at: str = "t") -> DataFrame:
+    """One row over all requests (at counts microseconds): most, the requests of a span that ends with one, and total of all such counts.
+
+    Time is cut into blocks of at least a span; a block also gets its predecessor's last requests, so no task holds all.
+    """
+    span = int(seconds * 1_000_000)
+    block = max(span, 3_600_000_000)
+    own = requests.select(F.col(at).alias("t"), F.expr(f"({at} - pmod({at}, {block})) div {block}").alias("block"), F.lit(True).alias("own"))
+    lead = own.where(F.pmod("t", F.lit(block)) >= block - span).withColumns({"block": F.col("block") + 1, "own": F.lit(False)})
+    w = Window.partitionBy("block").orderBy("t").rangeBetween(-span + 1, 0)
+    return own.unionByName(lead).withColumn("n", F.count(F.lit(1)).over(w)).where("own").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+
+
 def domain_rates(requests: DataFrame, key: str = "host", at: str = "start") -> DataFrame:
     return gaps(requests, key, at).groupBy(key).agg(F.count(F.lit(1)).alias("requests"), F.avg("gap").alias("avg_gap"))
 
@@ -70,20 +105,22 @@ def slowdowns(answers: DataFrame, base: float, key: str = "host") -> DataFrame:
     An answer to a request sent before the host's last slowdown changes nothing.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def begin():
         slowed: tuple[float, float] | None = None
-        out = []
-        for sent, ts in pdf.sort_values(["ts", "sent_at"])[["sent_at", "ts"]].itertuples(index=False):
+
+        def step(host, sent, ts):
+            nonlocal slowed
             left = 0.0 if slowed is None else slowed[0] * 0.5 ** ((ts - slowed[1]) / HALF_LIFE)
             current = max(base, left)
             wanted = min(MAX_SLOWDOWN, max(2 * current, MIN_SLOWDOWN))
             grew = (slowed is None or sent >= slowed[1]) and wanted > current
             if grew:
                 slowed, current = (wanted, ts), wanted
-            out.append((pdf[key].iloc[0], sent, ts, grew, current))
-        return pd.DataFrame(out, columns=[key, "sent_at", "ts", "grew", "interval"])
+            return host, sent, ts, grew, current
 
-    return answers.select(key, "sent_at", "ts").groupBy(key).applyInPandas(fold, f"{key} string, sent_at double, ts double, grew boolean, interval double")
+        return step
+
+    return folded(answers.select(key, "sent_at", "ts"), ["ts", "sent_at"], begin, f"{key} string, sent_at double, ts double, grew boolean, interval double")
 
 
 def holds(penalties: DataFrame, key: str = "host") -> DataFrame:
@@ -175,23 +212,36 @@ class Breaker:
 
 
 class Circuit:
-    """One host's state, fed with calls in time order."""
+    """One host's state, fed with calls in time order. It holds the calls of a window, and how many of them failed."""
 
     def __init__(self, rules: Breaker):
         self.rules = rules
         self.state, self.opened_at, self.opened, self.rejected = "closed", 0.0, 0, 0
         self.probe = None
-        self.calls: deque[list] = deque()  # [time, call, failed]
+        self.calls: OrderedDict = OrderedDict()  # call -> (time, failed), oldest first
+        self.failures = 0
 
     def _age(self, now: float) -> None:
         if self.state == "open" and now >= self.opened_at + self.rules.cooldown:
             self.state = "half_open"
-        while self.calls and self.calls[0][0] <= now - self.rules.window:
-            self.calls.popleft()
+        while self.calls:
+            call, (at, failed) = next(iter(self.calls.items()))
+            if at > now - self.rules.window:
+                break
+            del self.calls[call]
+            self.failures -= failed
+
+    def _turn(self, state: str, now: float) -> None:
+        """Enter a state; what was counted before is forgotten."""
+        self.calls.clear()
+        self.failures, self.state = 0, state
+        if state == "open":
+            self.opened_at = now
+            self.opened += 1
 
     def admit(self, now: float, call) -> bool:
         self._age(now)
-        if self.state == "closed" or self.probe == call is not None:
+        if self.state == "closed" or (call is not None and call == self.probe):
             return True
         if self.state == "half_open" and self.probe is None:
             self.probe = call
@@ -200,28 +250,26 @@ class Circuit:
         return False
 
     def record(self, now: float, call, failed: bool | None) -> None:
-        probing, self.probe = self.probe == call is not None, None if self.probe == call else self.probe
+        probing = call is not None and call == self.probe
+        if probing:
+            self.probe = None
         if failed is None:
             return
         if probing:
-            self.calls.clear()
-            self._open(now) if failed else setattr(self, "state", "closed")
+            self._turn("open" if failed else "closed", now)
             return
         self._age(now)
-        if self.state != "closed":
-            return
-        own = next((c for c in self.calls if c[1] == call), None)  # a retry stands for its call
-        if own:
-            own[2] = failed
-        else:
-            self.calls.append([now, call, failed])
-        if failed and len(self.calls) >= self.rules.min_requests and sum(c[2] for c in self.calls) >= self.rules.threshold * len(self.calls):
-            self._open(now)
-
-    def _open(self, now: float) -> None:
-        self.state, self.opened_at = "open", now
-        self.opened += 1
-        self.calls.clear()
+        if self.state == "closed":
+            self._count(now, call, failed)
+
+    def _count(self, now: float, call, failed: bool) -> None:
+        """Add a call, or what its retry came to, and open if too many failed."""
+        at, before = self.calls.get(call, (now, False))
+        self.calls[call] = (at, failed)
+        self.failures += failed - before
+        enough = len(self.calls) >= self.rules.min_requests
+        if failed and enough and self.failures >= self.rules.threshold * len(self.calls):
+            self._turn("open", now)
 
 
 def breaker_trace(attempts: DataFrame, rules: Breaker = Breaker(), key: str = "host") -> DataFrame:
@@ -231,17 +279,20 @@ def breaker_trace(attempts: DataFrame, rules: Breaker = Breaker(), key: str = "h
     """
     columns = [key, "t", "call_id"]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        circuit, out = Circuit(rules), []
-        for k, t, call, failed in pdf.sort_values(["t", "call_id"])[[*columns, "failed"]].itertuples(index=False):
+    def begin():
+        circuit = Circuit(rules)
+
+        def step(host, t, call, failed):
+            call = None if pd.isna(call) else call
             ok = circuit.admit(t, call)
             if ok:
-                circuit.record(t, call, None if failed is None or pd.isna(failed) else bool(failed))
-            out.append((k, t, call, ok, circuit.state, circuit.opened))
-        return pd.DataFrame(out, columns=[*columns, "admitted", "state", "times_opened"])
+                circuit.record(t, call, None if pd.isna(failed) else bool(failed))
+            return host, t, call, ok, circuit.state, circuit.opened
+
+        return step
 
     judged = attempts.select(*columns, is_failure(F.col("error_class"), F.col("status")).alias("failed"))
-    return judged.groupBy(key).applyInPandas(fold, f"{key} string, t double, call_id long, admitted boolean, state string, times_opened int")
+    return folded(judged, ["t", "call_id"], begin, f"{key} string, t double, call_id long, admitted boolean, state string, times_opened int")
 
 
 def window_failures(calls: DataFrame, seconds: float, key: str = "host", at: str = "t") -> DataFrame:
@@ -254,17 +305,20 @@ def window_failures(calls: DataFrame, seconds: float, key: str = "host", at: str
 def debounced_failures(events: DataFrame, apart: float, key: str = "host", at: str = "t") -> DataFrame:
     """Failures of a host that count: those at least `apart` seconds after the last that did; a success starts anew."""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        counted, last, out = 0, None, []
-        for t, ok in pdf.sort_values(at)[[at, "ok"]].itertuples(index=False):
+    def begin():
+        counted, last = 0, None
+
+        def step(host, t, ok):
+            nonlocal counted, last
             if ok:
                 counted, last = 0, None
             elif last is None or t - last >= apart:
                 counted, last = counted + 1, t
-            out.append((pdf[key].iloc[0], t, counted))
-        return pd.DataFrame(out, columns=[key, at, "counted"])
+            return host, t, counted
+
+        return step
 
-    return events.select(key, at, "ok").groupBy(key).applyInPandas(fold, f"{key} string, {at} double, counted int")
+    return folded(events.select(key, at, "ok"), [at, "ok"], begin, f"{key} string, {at} double, counted int")
 
 
 # Proxies and concurrency

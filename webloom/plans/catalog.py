@@ -214,13 +214,6 @@ def take_top1_per_host(spark, sf_dir):
     return frontier.take(frontier.new_rows(p), 0.0, 100).select("host", F.col("seq").alias("position"))
 
 
-@query(f"SELECT host, count(*) AS admitted FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY position) AS n FROM {_FP}) WHERE n <= 5 GROUP BY 1")
-def admit_per_host(spark, sf_dir):
-    p = _frontier_pages(spark, sf_dir)
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("position"))
-    return p.withColumn("n", rank).where("n <= 5").groupBy("host").agg(F.count(F.lit(1)).alias("admitted"))
-
-
 @query(f"{_JUDGED} SELECT position, host FROM judged WHERE chosen")
 def add_bounded(spark, sf_dir):
     return frontier.admission(_frontier_pages(spark, sf_dir), 500, 30).where("chosen").select("position", "host")
@@ -240,11 +233,6 @@ def frontier_state_counts(spark, sf_dir):
     return frontier.state_counts(table(spark, sf_dir, "orders").select(state.alias("state")))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def seen_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
-
-
 @query("SELECT o_custkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1")
 def upsert_latest(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
@@ -252,18 +240,6 @@ def upsert_latest(spark, sf_dir):
     return frontier.upsert_latest(old, o.where("o_orderkey % 2 = 1"), "o_custkey", "o_orderkey")
 
 
-@query("WITH RECURSIVE t AS (SELECT 1 AS n, 0 AS depth UNION ALL SELECT n * 2 + k, depth + 1 FROM t, (VALUES (0), (1)) v(k) WHERE depth < 8) SELECT depth, count(*) AS pages FROM t JOIN orders ON o_orderkey = n GROUP BY 1")
-def depth_bfs_recursive(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey")
-    level = orders.where("o_orderkey = 1").select(F.col("o_orderkey").alias("n"), F.lit(0).alias("depth"))
-    found = level
-    for d in range(1, 9):
-        children = level.select(F.explode(F.array(F.col("n") * 2, F.col("n") * 2 + 1)).alias("n"), F.lit(d).alias("depth"))
-        level = children.join(orders.withColumnRenamed("o_orderkey", "n"), "n", "left_semi")
-        found = found.unionByName(level)
-    return found.groupBy("depth").agg(F.count(F.lit(1)).alias("pages"))
-
-
 # Statistics: events stand for requests, users for hosts
 
 
@@ -321,14 +297,7 @@ def rate_gaps_lag(spark, sf_dir):
 
 @query(f"SELECT max(n) AS most, CAST(sum(n) AS BIGINT) AS total FROM (SELECT count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS n FROM {_REQ})")
 def rps_window(spark, sf_dir):
-    micros = _requests(spark, sf_dir).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    # windows don't cross a day's border by more than their length: each day gets its predecessors' last minutes
-    day = 86_400_000_000
-    span = 600_000_000
-    own = micros.withColumn("day", F.expr(f"t div {day}L")).withColumn("own", F.lit(True))
-    lead = own.where(F.col("t") % day >= day - span).withColumns({"day": F.col("day") + 1, "own": F.lit(False)})
-    w = Window.partitionBy("day").orderBy("t").rangeBetween(-span + 1, 0)
-    return own.unionByName(lead).withColumn("n", F.count(F.lit(1)).over(w)).where("own").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
+    return politeness.busiest_span(_requests(spark, sf_dir).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")), 600.0)
 
 
 @query(f"SELECT event_id, count(*) OVER w AS requests, CAST(sum(CASE WHEN error = 'NetworkError' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS failures FROM {_REQ} WINDOW w AS (PARTITION BY host ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)")
@@ -401,12 +370,6 @@ def doc_whitespace_clean(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.col("text")).alias("clean"))
 
 
-@query("SELECT doc_id, text, lang FROM documents")
-def doc_store_json_roundtrip(spark, sf_dir):
-    kept = table(spark, sf_dir, "documents").select(F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"}).alias("j"))
-    return kept.select(F.from_json("j", "doc_id long, text string, lang string").alias("d")).select("d.*")
-
-
 @query("SELECT doc_id, CASE WHEN left(t, 1) IN ('=', '+', '-', '@', chr(9), chr(13), '''') THEN '''' || t ELSE t END AS cell FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '=' || text ELSE text END AS t FROM documents)")
 def csv_formula_escape(spark, sf_dir):
     t = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("="), F.col("text"))).otherwise(F.col("text"))
