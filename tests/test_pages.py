@@ -71,3 +71,16 @@ def test_verdicts(spark):
     df = spark.createDataFrame([(["noindex"], ["nofollow"]), (None, ["none"]), (None, [])], "h array<string>, m array<string>")
     reason, nofollow = pages.robots_verdict(F.col("h"), F.col("m"))
     assert [tuple(r) for r in df.select(reason, nofollow).collect()] == [("noindex in X-Robots-Tag", True), ("noindex in a robots meta tag", True), (None, False)]
+
+
+def test_only_wanted_fields():
+    body = "<html lang='x'><head><title>T</title></head><body><h1>One</h1><template><a href='/no'>n</a></template><ul><li><a href='/y'>y</a></li></ul></body></html>"
+    whole = html.parse_page(body, "https://w.example/")
+    assert whole["links"] == ["https://w.example/y"] and whole["title"] == "T" and whole["headings"] == [{"level": 1, "text": "One"}]
+    few = html.parse_page(body, "https://w.example/", fields=("links",))
+    assert few["links"] == whole["links"] and few["title"] is None and few["text"] == "" and few["headings"] == [] and few.keys() == whole.keys()
+
+
+def test_deep_nesting_takes_linear_time():
+    deep = "<div>" * 20_000 + "<a href='/x'>x</a>" * 2_000
+    assert html.parse_page(deep, "https://w.example/")["links"] == ["https://w.example/x"]

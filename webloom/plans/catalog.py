@@ -128,8 +128,9 @@ def filter_max_len(spark, sf_dir):
 # Pages
 
 
-def _parsed(spark, sf_dir) -> DataFrame:
-    return pages.parse_pages(table(spark, sf_dir, "pages"))
+def _parsed(spark, sf_dir, *fields: str) -> DataFrame:
+    """Pages with what is wanted of them, or all fields."""
+    return pages.parse_pages(table(spark, sf_dir, "pages"), fields=fields or None)
 
 
 _ENCODED = "replace(replace(replace(url_encode(h), '%2F', '/'), '%2C', ','), '%2A', '*')"
@@ -139,17 +140,17 @@ FROM (SELECT page_id, url, unnest({_HREF}) AS h FROM pages) WHERE h LIKE '/%'"""
 
 @query(f"SELECT page_id, count(*) AS links FROM ({_LINKS}) GROUP BY 1")
 def links_extract(spark, sf_dir):
-    return _parsed(spark, sf_dir).where(F.size("page.links") > 0).select("page_id", F.size("page.links").cast("long").alias("links"))
+    return _parsed(spark, sf_dir, "links").where(F.size("page.links") > 0).select("page_id", F.size("page.links").cast("long").alias("links"))
 
 
 @query(_LINKS)
 def links_resolve(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", F.explode("page.links").alias("dst"))
+    return _parsed(spark, sf_dir, "links").select("page_id", F.explode("page.links").alias("dst"))
 
 
 @query(f"SELECT page_id, CAST(sum(CASE WHEN split_part(dst, '/', 3) = {_HOST} THEN 1 ELSE 0 END) AS BIGINT) AS internal_links, CAST(sum(CASE WHEN split_part(dst, '/', 3) <> {_HOST} THEN 1 ELSE 0 END) AS BIGINT) AS external_links FROM ({_LINKS}) JOIN pages USING (page_id) GROUP BY 1")
 def links_internal_external(spark, sf_dir):
-    found = pages.links(_parsed(spark, sf_dir).withColumn("page", F.col("page").withField("final_url", F.concat(F.col("page_id").cast("string"), F.lit(" "), F.col("page.final_url")))))
+    found = pages.links(_parsed(spark, sf_dir, "links").withColumn("page", F.col("page").withField("final_url", F.concat(F.col("page_id").cast("string"), F.lit(" "), F.col("page.final_url")))))
     inner = urls.same_host(F.col("dst"), urls.normalized(F.element_at(F.split("src", " "), 2)))
     page_id = F.element_at(F.split("src", " "), 1).cast("long").alias("page_id")
     return found.groupBy(page_id).agg(F.count_if(inner).alias("internal_links"), F.count_if(~inner).alias("external_links"))
@@ -157,7 +158,7 @@ def links_internal_external(spark, sf_dir):
 
 @query(f"SELECT dst, count(*) AS in_degree FROM ({_LINKS}) GROUP BY 1")
 def link_graph_degree(spark, sf_dir):
-    return pages.links(_parsed(spark, sf_dir)).groupBy("dst").agg(F.count(F.lit(1)).alias("in_degree"))
+    return pages.links(_parsed(spark, sf_dir, "links")).groupBy("dst").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
 _ENTITIES = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
@@ -165,28 +166,28 @@ _ENTITIES = "replace(replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'
 
 @query("SELECT page_id, " + _ENTITIES.format("trim(regexp_extract(html, '<title>([^<]*)</title>', 1))") + " AS title FROM pages")
 def title_extract(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", "page.title")
+    return _parsed(spark, sf_dir, "metadata").select("page_id", "page.title")
 
 
 @query("SELECT page_id, 1 AS level, " + _ENTITIES.format("trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))") + " AS heading FROM pages")
 def headings_extract(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", F.explode("page.headings").alias("h")).select("page_id", "h.level", F.col("h.text").alias("heading"))
+    return _parsed(spark, sf_dir, "headings").select("page_id", F.explode("page.headings").alias("h")).select("page_id", "h.level", F.col("h.text").alias("heading"))
 
 
 @query("SELECT page_id, count(*) AS items FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a></li>', 1)) AS t FROM pages) WHERE trim(t) <> '' GROUP BY 1")
 def list_items(spark, sf_dir):
     items = F.aggregate(F.transform("page.lists", lambda x: F.size(x["items"])), F.lit(0), lambda a, b: a + b)
-    return _parsed(spark, sf_dir).where(F.size("page.lists") > 0).select("page_id", items.cast("long").alias("items"))
+    return _parsed(spark, sf_dir, "lists").where(F.size("page.lists") > 0).select("page_id", items.cast("long").alias("items"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS language FROM pages")
 def page_language(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", "page.metadata.language")
+    return _parsed(spark, sf_dir, "metadata").select("page_id", "page.metadata.language")
 
 
 @query()
 def text_visible(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("page_id", F.col("page.text").alias("text"))
+    return _parsed(spark, sf_dir, "text").select("page_id", F.col("page.text").alias("text"))
 
 
 @query()
