@@ -137,3 +137,12 @@ def test_busiest_span(spark):
     row = politeness.busiest_span(spark.createDataFrame([(t,) for t in times], "t long"), 5.0).first()
     counts = [sum(t - 5_000_000 < u <= t for u in times) for t in times]
     assert (row["most"], row["total"]) == (max(counts), sum(counts))
+
+
+def test_given_up_hosts_forget_what_their_redirects_saw(spark):
+    rows = [("https://a.example/", "a.example", 0, 1), ("https://c.example/", "c.example", 0, 2)]
+    seen = [("https://b.example/x", "b.example", 0, 3), ("https://a.example/y", "a.example", 0, 4)]
+    pages = "url string, host string, depth int, seq long"
+    f = frontier.new_rows(spark.createDataFrame(rows, pages)).unionByName(frontier.new_rows(spark.createDataFrame(seen, pages), "seen").withColumn("seen_from", F.when(F.col("seq") == 3, "https://a.example/").otherwise("https://c.example/")))
+    gone = spark.createDataFrame([("a.example", "unreachable", "r", "NetworkError")], "host string, outcome string, reason string, error string")
+    assert {r["url"]: r["state"] for r in frontier.give_up_hosts(f, gone, 1.0).collect()} == {"https://a.example/": "unreachable", "https://c.example/": "queued", "https://a.example/y": "seen"}

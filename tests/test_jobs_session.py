@@ -3,6 +3,7 @@ import logging
 
 import pytest
 
+from webloom import cli
 from webloom.functions import session
 from webloom.operators import frontier, jobs
 from webloom.sources import tables, web
@@ -68,3 +69,22 @@ def test_jobs(spark, tmp_path):
 def test_json_lines():
     record = logging.LogRecord("n", logging.INFO, "f", 1, "é %d", (1,), None)
     assert json.loads(jobs.JsonLines().format(record))["message"] == "é 1"
+
+
+def test_job_commands(spark, tmp_path, capsys):
+    root = str(tmp_path / "jobs")
+    assert cli.main(["job", "status", "j", "--root", root]) == 1
+    assert cli.main(["job", "create", "j", "https://a.example/", "https://b.example/", "--root", root]) == 0
+    assert cli.main(["job", "create", "j", "https://a.example/", "--root", root]) == 1
+    assert cli.main(["job", "create", "k", "--root", root]) == 2
+    capsys.readouterr()
+    assert cli.main(["job", "status", "j", "--root", root]) == 0
+    line = capsys.readouterr().out
+    assert "0/100 pages, 0 failed" in line and "queued 2" in line and "ETA --" in line and "lost" not in line
+    store = jobs.Jobs(spark, root)
+    done = frontier.finish(store.frontier("j"), spark.createDataFrame([("https://a.example/", "processed"), ("https://b.example/", "failed")], "url string, outcome string"), 5.0)
+    store.save("j", done, json.loads(store.find("j")["settings"]), 9.0)
+    assert cli.main(["job", "status", "j", "--root", root, "--watch", "1"]) == 0
+    assert "2/100 pages, 1 failed" in capsys.readouterr().out
+    assert cli.main(["job", "report", "j", "--root", root, "--unsaved", str(tmp_path / "u.csv")]) == 0
+    assert json.loads(capsys.readouterr().out)["failed"] == 1 and "https://b.example/" in (tmp_path / "u.csv").read_text()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -34,9 +35,59 @@ def arguments() -> argparse.ArgumentParser:
     d = sub.add_parser("parse", help="parse fetched pages into page structs")
     d.add_argument("--pages", required=True)
     d.add_argument("--output", required=True)
+    j = sub.add_parser("job", help="jobs that are kept as tables")
+    steps = j.add_subparsers(dest="step", required=True)
+    for step, what in (("create", "queue start URLs"), ("status", "a line of progress"), ("report", "totals as JSON, pages that weren't saved as CSV")):
+        q = steps.add_parser(step, help=what)
+        q.add_argument("name")
+        q.add_argument("--root", required=True, help="folder of the jobs' tables, shared by the cluster")
+        if step == "create":
+            q.add_argument("urls", nargs="*")
+            q.add_argument("--config")
+            q.add_argument("--resume", action="store_const", dest="mode", const="resume", default="new")
+            q.add_argument("--restart", action="store_const", dest="mode", const="restart")
+        elif step == "status":
+            q.add_argument("--watch", type=float, metavar="SECONDS", help="repeat until the job has finished")
+        else:
+            q.add_argument("--unsaved", help="CSV file of pages that weren't saved")
     return p
 
 
+def run_job(spark: SparkSession, args: argparse.Namespace) -> int:
+    """job create, status and report; 1: there is no such job, or one already."""
+    import dataclasses
+    import time
+
+    from webloom.operators import frontier, jobs
+
+    store = jobs.Jobs(spark, args.root)
+    try:
+        if args.step == "create":
+            given = C.load(args.config, {"urls": args.urls} if args.urls else {}) if args.config else C.build({"urls": args.urls}, "arguments")
+            if not given.urls:
+                raise C.ConfigError(["no URLs to start from"], "arguments")
+            start = spark.createDataFrame([(u, i) for i, u in enumerate(given.urls)], "url string, position long")
+            settings = json.loads(json.dumps(dataclasses.asdict(given), default=str))
+            queued = store.create(args.name, settings, start, args.mode).where("state = 'queued'").count()
+            print(f"{args.name}: {queued} pages queued")
+            return 0
+        job = store.find(args.name)
+        limit = json.loads(job["settings"]).get("crawler", {}).get("max_pages", 100)
+        if args.step == "status" and args.watch:
+            jobs.watch(store, args.name, limit, args.watch)
+        elif args.step == "status":
+            print(jobs.progress_line(job, store.frontier(args.name), time.time(), limit))
+        else:
+            state = store.frontier(args.name)
+            print(json.dumps(jobs.job_stats(state), ensure_ascii=False, indent=2))
+            if args.unsaved:
+                report.unsaved_csv(frontier.unsaved(state).toLocalIterator(), args.unsaved)
+        return 0
+    except jobs.JobError as error:
+        print(error, file=sys.stderr)
+        return 1
+
+
 def overrides(args: argparse.Namespace) -> dict:
     out: dict = {"crawler": {}, "filters": {}, "storage": {}, "report": {}}
     if args.urls:
@@ -71,6 +122,8 @@ def main(argv: list[str] | None = None) -> int:
 
             P.parse_pages(session().read.parquet(args.pages)).select("page.*").write.mode("overwrite").parquet(args.output)
             return 0
+        if args.command == "job":
+            return run_job(session(), args)
         given = C.load(args.config, overrides(args)) if args.config else C.build(overrides(args), "arguments")
         if not given.urls:
             raise C.ConfigError(["no URLs to start from"], "arguments")

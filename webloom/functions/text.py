@@ -89,3 +89,15 @@ def progress_line(p: dict[str, Column]) -> Column:
         duration(p["elapsed"]),
     ]
     return F.concat_ws(" | ", *parts)
+
+
+def job_line(p: dict[str, Column]) -> Column:
+    """One line of a job's progress from columns state, done, total (or null), failed, percent, speed, eta, in_progress, queued, workers, lost, elapsed."""
+    left = F.when(p["state"] == "seeding", "seeding").when(p["state"] == "finished", "done").when(p["eta"].isNull(), "ETA --").otherwise(F.concat(F.lit("ETA "), duration(p["eta"])))
+    bounded = F.concat_ws(" | ", progress_bar(p["percent"]), F.format_string("%d/%d pages", p["done"], p["total"]))
+    pages = F.when(p["total"].isNull(), F.format_string("%d pages", p["done"])).otherwise(bounded)
+    workers = F.concat(F.format_string("workers %d", p["workers"]), F.when(p["lost"] > 0, F.format_string(" (%d lost)", p["lost"])).otherwise(""))
+    return F.concat_ws(
+        " | ", F.concat(pages, F.format_string(", %d failed", p["failed"])), F.format_string("%.1f pages/s", p["speed"]), left, workers,
+        F.format_string("in progress %d", p["in_progress"]), F.format_string("queued %d", p["queued"]), duration(p["elapsed"]),
+    )

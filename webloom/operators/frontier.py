@@ -186,14 +186,54 @@ def mark_seen(frontier: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     return rows.select(*frontier.columns), verdicts
 
 
+def put_back_all(frontier: DataFrame, worker: str) -> DataFrame:
+    """Requeue, uncounted and behind all others, what a stopping worker has leased; pages that wait for their save keep their lease."""
+    mine = (F.col("state") == "leased") & (F.col("worker") == worker)
+    last = frontier.agg(F.max("seq")).first()[0] or 0
+    order = numbered(frontier.where(mine).select("url", F.col("seq").alias("__old")), "__seq", "__old", "url").drop("__old")
+    back = F.col("__seq").isNotNull()
+    changed = {
+        "state": F.when(back, "queued").otherwise(F.col("state")), "seq": F.coalesce(F.col("__seq") + last + 1, "seq").cast("long"), "counted": ~back & F.col("counted"),
+        "worker": F.when(~back, F.col("worker")), "lease_until": F.when(~back, F.col("lease_until")),
+    }
+    return frontier.join(order, "url", "left").withColumns(changed).select(*frontier.columns)
+
+
+def settle(frontier: DataFrame, settled: DataFrame, now: float) -> DataFrame:
+    """Pages that wait for their save after settled(url, dropped): processed, or failed if a sink has dropped their record."""
+    joined = frontier.join(settled.select("url", F.col("dropped").alias("__dropped")), "url", "left")
+    done = (F.col("state") == "saving") & F.col("__dropped").isNotNull()
+    lost = done & F.col("__dropped")
+    changed = {
+        "state": F.when(lost, "failed").when(done, "processed").otherwise(F.col("state")), "reason": F.when(lost, "a sink dropped the record").otherwise(F.col("reason")),
+        "error": F.when(lost, "RecordDropped").otherwise(F.col("error")), "finished_at": F.when(done, F.lit(now)).otherwise(F.col("finished_at")),
+    }
+    return joined.withColumns(changed).select(*frontier.columns)
+
+
+def forget(frontier: DataFrame, targets: DataFrame) -> DataFrame:
+    """Without what was only seen by redirects of targets(url, source): it may be queued again."""
+    seen = frontier.where("state = 'seen'").join(targets.select("url", F.col("source").alias("seen_from")).distinct(), ["url", "seen_from"], "left_anti")
+    return frontier.where("state != 'seen'").unionByName(seen.select(*frontier.columns))
+
+
+def first_given_up(known: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(host, outcome, reason, error): known hosts keep theirs, others get the earliest of verdicts(host, outcome, reason, error, at)."""
+    kept = ["host", "outcome", "reason", "error"]
+    first = verdicts.join(known.select("host"), "host", "left_anti").groupBy("host").agg(F.min_by(F.struct(*kept[1:]), F.struct("at", *kept[1:])).alias("v"))
+    return known.select(*kept).unionByName(first.select("host", "v.*"))
+
+
 def give_up_hosts(frontier: DataFrame, hosts: DataFrame, now: float) -> DataFrame:
-    """Finish queued pages of hosts(host, outcome, reason, error), and forget what was only seen there."""
+    """Finish queued pages of hosts(host, outcome, reason, error), and forget what only their redirects have seen."""
     h = hosts.select("host", F.col("outcome").alias("__o"), F.col("reason").alias("__r"), F.col("error").alias("__e"))
+    lost = frontier.where("state = 'queued'").join(h.select("host"), "host", "left_semi").select(F.col("url").alias("seen_from"))
+    seen = frontier.where("state = 'seen'").join(lost, "seen_from", "left_anti").select(*frontier.columns)
     hit = F.col("__o").isNotNull() & (F.col("state") == "queued")
-    joined = frontier.join(h, "host", "left").where(~(F.col("__o").isNotNull() & (F.col("state") == "seen")))
-    return joined.withColumns(
+    joined = frontier.where("state != 'seen'").join(h, "host", "left").withColumns(
         {"state": F.when(hit, F.col("__o")).otherwise(F.col("state")), "reason": F.when(hit, F.col("__r")).otherwise(F.col("reason")), "error": F.when(hit, F.col("__e")).otherwise(F.col("error")), "finished_at": F.when(hit, F.lit(now)).otherwise(F.col("finished_at"))}
-    ).select(*frontier.columns)
+    )
+    return joined.select(*frontier.columns).unionByName(seen)
 
 
 def state_counts(frontier: DataFrame) -> DataFrame:

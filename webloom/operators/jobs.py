@@ -99,6 +99,25 @@ def job_stats(frontier: DataFrame, top_domains: int = 10) -> dict:
     return page_totals(frontier).first().asDict() | {k: {str(r[0]): r[1] for r in df.collect()} for k, df in lists.items()}
 
 
+def progress_line(job, frontier: DataFrame, now: float, max_pages: int, window: float = 30.0) -> str:
+    """A line of how far a job (its row) has come."""
+    from webloom.functions.text import job_line
+
+    row = stats.job_progress(frontier, now, max_pages, window).withColumn("workers", F.lit(frontier.where("state = 'leased'").select("worker").distinct().count()))
+    given = {"state": F.lit(job["state"]), "total": F.lit(max_pages), "lost": F.lit(0), "elapsed": F.lit((job["finished_at"] or now) - job["created_at"])}
+    return row.select(job_line({c: F.col(c) for c in row.columns} | given)).first()[0]
+
+
+def watch(store: Jobs, name: str, max_pages: int, seconds: float = 2.0, show=print, clock=time.time, sleep=time.sleep) -> None:
+    """Show a job's progress until it has finished; JobError if there is none."""
+    while True:
+        job = store.find(name)
+        show(progress_line(job, store.frontier(name), clock(), max_pages))
+        if job["state"] == "finished":
+            return
+        sleep(seconds)
+
+
 def wait_state(frontier: DataFrame, hosts: DataFrame, worker: str, now: float, max_pages: int | None = None) -> DataFrame:
     """One row for a worker without a page: closed, ready, queued, others_busy, others_counted and due (seconds until something may change)."""
     known = hosts.select("host", "next_allowed_at", "given_up")

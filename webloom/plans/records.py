@@ -164,6 +164,33 @@ def admit_per_host(spark, sf_dir):
     return judged.where("admission = 'admitted'").groupBy("host").agg(F.count(F.lit(1)).alias("admitted"))
 
 
+@query(f"SELECT url, CASE WHEN seq % 2 = 0 THEN 'queued' ELSE 'leased' END AS state, CASE WHEN seq % 2 = 0 THEN m + row_number() OVER (PARTITION BY seq % 2 ORDER BY seq) ELSE seq END AS seq, seq % 2 <> 0 AS counted FROM {_PLACED}, (SELECT max(seq) AS m FROM {_PLACED})")
+def put_back_worker(spark, sf_dir):
+    f = frontier.new_rows(_placed(spark, sf_dir), "leased").withColumns({"worker": F.when(F.col("seq") % 2 == 0, "own").otherwise("other"), "counted": F.lit(True)})
+    return frontier.put_back_all(f, "own").select("url", "state", "seq", "counted")
+
+
+@query(f"SELECT url, CASE seq % 3 WHEN 0 THEN 'processed' WHEN 1 THEN 'failed' ELSE 'saving' END AS state, CASE WHEN seq % 3 = 1 THEN 'RecordDropped' END AS error FROM {_PLACED}")
+def settle_saves(spark, sf_dir):
+    p = _placed(spark, sf_dir)
+    return frontier.settle(frontier.new_rows(p, "saving"), p.where("seq % 3 < 2").select("url", (F.col("seq") % 3 == 1).alias("dropped")), 9.0).select("url", "state", "error")
+
+
+@query(f"SELECT url FROM {_PLACED} WHERE seq % 4 <> 0")
+def forget_targets(spark, sf_dir):
+    f = frontier.new_rows(_placed(spark, sf_dir), "seen").withColumn("seen_from", F.lit("https://s.example/"))
+    named = f.where("seq % 2 = 0").select("url", F.when(F.col("seq") % 4 == 0, "https://s.example/").otherwise("https://z.example/").alias("source"))
+    return frontier.forget(f, named).select("url")
+
+
+@query(f"SELECT host, CASE WHEN host % 2 = 0 THEN 'blocked' ELSE arg_min(coalesce(error, 'none'), event_id) END AS reason FROM {_REQ} GROUP BY host")
+def hosts_first_verdict(spark, sf_dir):
+    r = _requests(spark, sf_dir)
+    known = r.where("host % 2 = 0").select("host").distinct().select("host", F.lit("unreachable").alias("outcome"), F.lit("blocked").alias("reason"), F.lit("NetworkError").alias("error"))
+    verdicts = r.select("host", F.lit("unreachable").alias("outcome"), F.coalesce("error", F.lit("none")).alias("reason"), "error", F.col("event_id").alias("at"))
+    return frontier.first_given_up(known, verdicts).select("host", "reason")
+
+
 # A crawl: order n's page links to the orders 32 n ... 32 n + 31
 
 
