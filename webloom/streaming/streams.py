@@ -55,14 +55,16 @@ def breaker_stream(stream: DataFrame, rules: Breaker = Breaker()) -> DataFrame:
             kept = state.get
             circuit.state, circuit.opened_at, circuit.opened, circuit.rejected = kept[:4]
             circuit.probe = None if kept[4] is None or kept[4] < 0 else kept[4]
-            circuit.calls.extend([t, c, bool(f)] for t, c, f in zip(*kept[5:], strict=True))
+            circuit.calls.update((call, (t, bool(f))) for t, call, f in zip(*kept[5:], strict=True))
+            circuit.failures = sum(f for _, f in circuit.calls.values())
         out = []
         for t, call, failed in pd.concat(list(frames)).sort_values(["t", "call_id"])[["t", "call_id", "failed"]].itertuples(index=False):
             ok = circuit.admit(t, call)
             if ok:
                 circuit.record(t, call, None if failed is None or pd.isna(failed) else bool(failed))
             out.append((key[0], t, call, ok, circuit.state, circuit.opened))
-        times, calls, failures = (list(x) for x in zip(*circuit.calls, strict=True)) if circuit.calls else ([], [], [])
+        calls = list(circuit.calls)
+        times, failures = ([c[i] for c in circuit.calls.values()] for i in (0, 1))
         state.update((circuit.state, float(circuit.opened_at), circuit.opened, circuit.rejected, -1 if circuit.probe is None else int(circuit.probe), times, calls, failures))
         yield pd.DataFrame(out, columns=["host", "t", "call_id", "admitted", "state", "times_opened"])
 
