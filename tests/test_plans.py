@@ -152,3 +152,27 @@ def test_answers_are_chosen_alike(spark):
 
     df = spark.createDataFrame([("https://e.com/", i, f"<p>{i}") for i in (404, 200, 500)] + [("https://e.com/", None, "x")], "url string, status int, html string")
     assert {crawl.fetched(df.repartition(n)).first()["status"] for n in (1, 2, 3, 4)} == {200}
+
+
+@pytest.fixture
+def odd_pages(spark, tmp_path):
+    """Pages as the driver's larger tables have some: titles and headings cut within a reference, a URL of two pages."""
+    text = "A&amp;B &copy; &quot;c&quot; d&amp"
+    rows = [(i, f"https://e.example/{i // 2}", f'<!DOCTYPE html><html lang="en"><head><title>{text}</title></head><body><h1>{text}</h1><p>{i}</body></html>') for i in range(4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    return str(tmp_path)
+
+
+def against_sql(spark, folder, name):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{folder}/pages.parquet/*.parquet')")
+    got = sorted(map(tuple, entry.queries()[name](spark, folder).collect()))
+    assert len(got) == 4 and got == sorted(db.sql(entry.oracle_sql()[name]).fetchall())
+
+
+def test_headings_extract_against_sql(spark, odd_pages):
+    against_sql(spark, odd_pages, "headings_extract")

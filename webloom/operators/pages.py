@@ -21,7 +21,7 @@ PAGE_RECORD = "url STRING, title STRING, text STRING, links ARRAY<STRING>, metad
 
 
 def parsed(html_: Column, url: Column, final_url: Column | None = None, content_type: Column | None = None, **options) -> Column:
-    """A struct of type PARSED; options: same_host_only, skip_nofollow, robots_name, and fields, the only ones to be read (title comes with metadata)."""
+    """A struct of type PARSED; options: same_host_only, skip_nofollow, robots_name, bare_references, and fields, the only ones to be read (title comes with metadata)."""
 
     @arrow_udf(PARSED)
     def parse(bodies: pd.Series, at: pd.Series, final: pd.Series, types: pd.Series) -> pd.DataFrame:
