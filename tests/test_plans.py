@@ -180,3 +180,7 @@ def test_headings_extract_against_sql(spark, odd_pages):
 
 def test_title_extract_against_sql(spark, odd_pages):
     against_sql(spark, odd_pages, "title_extract")
+
+
+def test_records_upsert_against_sql(spark, odd_pages):
+    against_sql(spark, odd_pages, "records_upsert")

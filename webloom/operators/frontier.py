@@ -7,6 +7,8 @@ an explicit column or number, never the clock.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -245,7 +247,7 @@ def unsaved(frontier: DataFrame) -> DataFrame:
     return frontier.where(F.col("state").isin(*UNSAVED)).select("url", F.col("state").alias("outcome"), "reason", "status", "error", "finished_at", "seq").orderBy("finished_at", "seq").drop("finished_at", "seq")
 
 
-def upsert_latest(stored: DataFrame, batch: DataFrame, key: str = "url", order: str = "seq") -> DataFrame:
+def upsert_latest(stored: DataFrame, batch: DataFrame, key: str | Sequence[str] = "url", order: str = "seq") -> DataFrame:
     """stored and batch with one row a key, the latest: an aggregate of one struct, no sort."""
     both = stored.unionByName(batch.select(*stored.columns))
-    return both.groupBy(key).agg(F.max_by(F.struct(*stored.columns), order).alias("row")).select("row.*")
+    return both.groupBy(*([key] if isinstance(key, str) else key)).agg(F.max_by(F.struct(*stored.columns), order).alias("row")).select("row.*")

@@ -6,7 +6,7 @@ import json
 import os
 import re
 import sqlite3
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 from urllib.parse import urlsplit
 
@@ -106,8 +106,8 @@ def read_csv_records(spark: SparkSession, path: str, escape_formulas: bool = Tru
     return raw.select(*[text.get(n, typed.get(n)) for n in RECORD_FIELDS])
 
 
-def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, order: str = "crawled_at", buckets: int | None = None) -> None:
-    """Write batch into a Parquet table keyed by url, the latest record winning: a new version beside the old, then a pointer to it.
+def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, order: str = "crawled_at", buckets: int | None = None, key: str | Sequence[str] = "url") -> None:
+    """Write batch into a Parquet table keyed by url, or other columns, the latest record winning: a new version beside the old, then a pointer to it.
 
     The pointer (a one-row table) is written last, so readers and reruns see a whole version.
     """
@@ -116,9 +116,9 @@ def upsert_parquet(spark: SparkSession, batch: DataFrame, path: str, order: str
     pointer = f"{path}/current"
     old = _version(spark, path)
     stored = spark.read.parquet(f"{path}/v{old}") if old else batch.limit(0)
-    merged = upsert_latest(stored, batch, "url", order)
+    merged = upsert_latest(stored, batch, key, order)
     if buckets:
-        merged = merged.repartition(buckets, "url")
+        merged = merged.repartition(buckets, *([key] if isinstance(key, str) else key))
     merged.write.mode("overwrite").parquet(f"{path}/v{old + 1}")
     spark.createDataFrame([(old + 1,)], "version int").coalesce(1).write.mode("overwrite").parquet(pointer)
 
