@@ -154,6 +154,43 @@ def test_answers_are_chosen_alike(spark):
     assert {crawl.fetched(df.repartition(n)).first()["status"] for n in (1, 2, 3, 4)} == {200}
 
 
+def test_levels_are_not_broadcast(spark):
+    """Outcomes of a level, of which a few columns of a wide table are estimated too small, are merged with the frontier."""
+    from webloom.operators import frontier
+    from webloom.operators.order import checkpointed
+
+    pages = spark.range(20_000).select(F.concat(F.lit("https://wide.example/" + "x" * 80), "id").alias("url"), F.lit("wide.example").alias("host"), F.lit(0).alias("depth"), F.col("id").alias("seq"))
+    state = checkpointed(frontier.new_rows(pages))
+    level = checkpointed(pages.select("url", F.lit("processed").alias("outcome"), *[F.lit("y").alias(f"c{i}") for i in range(60)]))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "128k")
+        done = frontier.finish(state, level.select("url", "outcome"), 1.0)
+        new, _ = frontier.add(state, level.select("url", F.lit(0).alias("position")), 1)
+        _, may = frontier.mark_seen(state, level.select("url", F.lit("https://s.example/").alias("source")))
+        for df, n in ((done, 20_000), (new, 0), (may, 20_000)):
+            assert len(df.collect()) == n
+            sent = [line for line in df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0].split("\n") if "BroadcastHashJoin" in line]
+            assert not [line for line in sent if "url" in line], sent
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_answers_are_shaped_once(spark):
+    """However many levels a crawl has, its answers are computed once."""
+    met = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            met.add(1)
+            yield r
+
+    html = spark.createDataFrame([(f"https://once.example/{i}", f'<a href="/{i + 1}">next</a>') for i in range(4)], "url string, html string")
+    answers = spark.createDataFrame(html.rdd.mapPartitions(counted), html.schema)
+    state, _ = crawl.crawl(spark, ["https://once.example/0"], answers, crawl.CrawlPlan(max_depth=3))
+    assert state.where("state = 'processed'").count() == 4 and met.value == 4
+
+
 @pytest.fixture
 def odd_pages(spark, tmp_path):
     """Pages as the driver's larger tables have some: titles and headings cut within a reference, a URL of two pages."""

@@ -35,6 +35,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """df for a join by merging, never by broadcast: it can have as many rows as the level or the frontier.
+
+    A few columns of a wide, well compressed table are estimated at a fraction of their size; a broadcast planned by that is kept
+    when the rows turn out to be millions, as merging would take more shuffles, and they all go through the driver.
+    """
+    return df.hint("merge")
+
+
 def running_count(df: DataFrame, flag: Column, *order: str) -> DataFrame:
     """df with running: rows up to and with this one, in an order without ties, whose flag holds.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html, urls
 from webloom.functions.udfs import arrow_udf
+from webloom.operators.order import merged
 
 METADATA = "title STRING, description STRING, keywords ARRAY<STRING>, language STRING, canonical STRING, robots ARRAY<STRING>"
 PARSED = (
@@ -92,4 +93,4 @@ def canonical_duplicates(parsed_pages: DataFrame, known: DataFrame) -> DataFrame
         return F.regexp_extract(c, r"^https?://([^?#]*)", 1)
 
     same = named.where(place(F.col("target")) == place(F.col("served")))
-    return same.join(known.select(F.col("url").alias("target")).distinct(), "target", "left_semi").select("url", "canonical")
+    return same.join(merged(known.select(F.col("url").alias("target")).distinct()), "target", "left_semi").select("url", "canonical")

@@ -16,10 +16,12 @@ from webloom.functions import urls
 from webloom.operators import frontier, pages, robots, sitemaps
 from webloom.operators.errors import http_error_class
 from webloom.operators.filters import UrlFilter, is_html_content_type
-from webloom.operators.order import checkpointed, numbered
+from webloom.operators.order import checkpointed, merged, numbered
 
 FETCHED = "url STRING, status INT, content_type STRING, html STRING, location STRING, robots_tag ARRAY<STRING>, error_class STRING, elapsed DOUBLE"
 MAX_REDIRECTS = 10
+#: So many wanted URLs are broadcast to the answers at most.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -55,14 +57,17 @@ def follow_redirects(wanted: DataFrame, answers: DataFrame, hops: int = MAX_REDI
     rest = [c for c in answers.columns if c != "url"]
     target = F.when(F.col("status").isin(301, 302, 303, 307, 308) & F.col("location").isNotNull(), urls.resolved(F.col("location"), F.col("final_url")))
     moving = wanted.select("url", F.col("url").alias("final_url"))
-    done = None
+    done, n = None, moving.count()
     for hop in range(hops + 1):
-        met = moving.join(answers.withColumnRenamed("url", "final_url"), "final_url", "left").withColumn("__to", target)
+        asked = moving.select("final_url").distinct()
+        found = answers.withColumnRenamed("url", "final_url").join(merged(asked) if n > FEW else F.broadcast(asked), "final_url", "left_semi")
+        met = moving.join(merged(found), "final_url", "left").withColumn("__to", target)
         met = checkpointed(met)
         stay = met.where("__to is null").drop("__to").select("url", "final_url", *rest)
         done = stay if done is None else done.unionByName(stay)
         moving = met.where("__to is not null").select("url", F.col("__to").alias("final_url"))
-        if moving.isEmpty():
+        n = moving.count()
+        if not n:
             return done
         if hop == hops:
             lost = moving.select("url", "final_url", *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in rest]).withColumn("error_class", F.lit("TooManyRedirectsError"))
@@ -99,7 +104,7 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
     the filters allow, are queued behind the start URLs at depth 0. A page is crawled under one URL: a redirect to
     a page that the crawl knows, or that another page has led to, is not followed up.
     """
-    answers = fetched(answers)
+    answers = checkpointed(fetched(answers))  # read again at each level and hop
     filters = plan.filters
     if plan.same_domain_only:
         filters = UrlFilter(tuple(h for h in map(urls.host_of, start_urls) if h), filters.include, filters.exclude, filters.extensions, filters.max_length)
@@ -125,32 +130,35 @@ def crawl(spark: SparkSession, start_urls: list[str], answers: DataFrame, plan:
         else:
             got = got.withColumn("allowed", F.lit(True))
         scope = filters.apply(got.select("final_url").distinct(), "final_url").withColumn("__in", F.lit(True))
-        got = got.join(scope, "final_url", "left").withColumn("in_scope", F.coalesce("__in", F.lit(False)) | (F.lit(depth) == 0)).drop("__in")
+        got = got.join(merged(scope), "final_url", "left").withColumn("in_scope", F.coalesce("__in", F.lit(False)) | (F.lit(depth) == 0)).drop("__in")
         moved = got.where("final_url != url").select(urls.queue_form(F.col("final_url")).alias("to"), "url").where("to != url")
         seen, may = frontier.mark_seen(state, moved.select(F.col("to").alias("url"), F.col("url").alias("source")))
         barred = may.where("not may_follow").select(F.col("source").alias("url"), F.lit(True).alias("met_before"))
-        got = got.join(barred, "url", "left").withColumn("met_before", F.coalesce("met_before", F.lit(False)))
+        got = got.join(merged(barred), "url", "left").withColumn("met_before", F.coalesce("met_before", F.lit(False)))
         got = got.withColumn("page", pages.parsed(F.when(F.col("allowed"), F.col("html")), F.col("url"), F.col("final_url"), skip_nofollow=plan.skip_nofollow))
         got = checkpointed(got)
         known = state.where(F.col("state").isin("queued", "leased", "processed")).select("url")
         twins = pages.canonical_duplicates(got.where("page.problem is null"), known).withColumnRenamed("canonical", "duplicate_of")
         noindex, nofollow = pages.robots_verdict(F.col("robots_tag"), F.col("page.metadata.robots"))
         nothing = F.lit(None).cast("string")
-        got = got.join(twins, "url", "left").withColumn("noindex", noindex if plan.respect_robots else nothing).withColumn("nofollow", nofollow if plan.respect_robots else F.lit(False))
+        got = got.join(merged(twins), "url", "left").withColumn("noindex", noindex if plan.respect_robots else nothing).withColumn("nofollow", nofollow if plan.respect_robots else F.lit(False))
         s, r, e = outcome(F.col("allowed"), F.col("in_scope"))
         got = checkpointed(got.withColumns({"outcome": s, "reason": r, "error": e}))
         results = got.select("url", "outcome", "reason", "status", "elapsed", "error", (~F.col("outcome").isin("blocked", "unreachable")).alias("counts"))
         state = frontier.finish(state, results, float(depth + 1))
-        state = state.join(results.where("counts").select("url", F.lit(True).alias("__c")), "url", "left").withColumn("counted", F.col("counted") | F.coalesce("__c", F.lit(False))).drop("__c")
+        state = state.join(merged(results.where("counts").select("url", F.lit(True).alias("__c"))), "url", "left").withColumn("counted", F.col("counted") | F.coalesce("__c", F.lit(False))).drop("__c")
         # what a page that failed has led to may be queued by others
-        kept = seen.join(got.where("outcome != 'failed'").select(F.col("url").alias("seen_from")), "seen_from", "left_semi")
+        kept = seen.join(merged(got.where("outcome != 'failed'").select(F.col("url").alias("seen_from"))), "seen_from", "left_semi")
         state = state.unionByName(kept.select(*state.columns))
-        over = judged.where("admission = 'over_host_limit'").select("url", F.lit("skipped").alias("outcome"), F.lit("over max_pages_per_host").alias("reason"))
-        state = checkpointed(frontier.finish(state, over, float(depth + 1)))
+        if plan.max_per_host is not None:
+            over = judged.where("admission = 'over_host_limit'").select("url", F.lit("skipped").alias("outcome"), F.lit("over max_pages_per_host").alias("reason"))
+            state = frontier.finish(state, over, float(depth + 1))
+        state = checkpointed(state)
         found = got.where("outcome = 'processed'")
         parsed_all = found if parsed_all is None else parsed_all.unionByName(found)
         if depth < plan.max_depth:
-            out = got.where(F.col("outcome").isin("processed") & ~F.col("nofollow")).join(taken.select("url", "seq"), "url").select("seq", F.posexplode("page.links").alias("pos", "link"))
+            linking = got.where(F.col("outcome").isin("processed") & ~F.col("nofollow")).select("url", F.col("page.links").alias("links")).where(F.size("links") > 0)
+            out = linking.join(merged(taken.select("url", "seq")), "url").select("seq", F.posexplode("links").alias("pos", "link"))
             out = filters.apply(out.withColumnRenamed("link", "url"), "url")
             place = numbered(out, "position", "seq", "pos").select("url", "position")
             rows, _ = frontier.add(state, place, depth + 1, plan.max_pages, plan.max_per_host)
